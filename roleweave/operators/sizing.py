@@ -1,0 +1,45 @@
+"""Size checks that guard every broadcast and every driver-side literal list."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:
+    """The values of ``column`` when there are at most ``limit`` rows, else None.
+
+    Reads at most ``limit + 1`` rows, so the driver never holds more than the bound.
+    """
+    rows = df.select(column).limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return [r[0] for r in rows]
+
+
+def row_count_at_most(df: DataFrame, limit: int) -> bool:
+    return df.limit(limit + 1).count() <= limit
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast only when the side is proven to hold at most ``max_rows`` rows.
+
+    Otherwise the join is left to the planner (sort-merge, with AQE free to switch
+    to a broadcast at run time from the real size, and to split skewed partitions).
+    """
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread a narrow input over the cores before row-heavy work.
+
+    Only when the scan produced fewer partitions than the cluster's default
+    parallelism (a few large row groups); a scan of many files is left as it
+    is, so at scale this adds no shuffle.  Hashing on ``key`` (rather than
+    round-robin) keeps the placement deterministic when a task is retried.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
