@@ -61,11 +61,11 @@ _EXP_SQL = r"""
        when regexp_matches(s_exp, '(\d+)\+?\s*y') then 99::bigint
        else 99::bigint end as exp_max"""
 
-_MATCH_SQL_BODY = r"""
+_MATCH_SQL_TEMPLATE = r"""
 posts0 as (
-  select *, lower(coalesce(experience, '')) as s_exp from fx_postings),
+  select *, lower(coalesce(experience, '')) as s_exp from {src}),
 posts as (
-  select ord, md5(regexp_replace(lower(concat(title,'|',company,'|',url)), '^\s+|\s+$', '', 'g')) as job_id,
+  select ord, posted_ts, company, md5(regexp_replace(lower(concat(title,'|',company,'|',url)), '^\s+|\s+$', '', 'g')) as job_id,
          lower(concat_ws(' ', title, description, company, location, '', experience)) as text_lc,
          lower(title) as title_lc,
          (contains(lower(title), 'gear') or contains(lower(title), 'rod')) as align,
@@ -112,6 +112,8 @@ scored as (
   from comp)
 """
 
+_MATCH_SQL_BODY = _MATCH_SQL_TEMPLATE.replace("{src}", "fx_postings")
+
 MATCH_SQL = S.with_ctes(_MATCH_SQL_BODY + f"""
 select profile_id, ord, job_id, round(score, 6) as score, cast(trunc(score * 100) as integer) as score_pct,
        array_to_string(case when len(rs) = 0 then ['Content similarity'] else rs end, ' | ') as reasons
@@ -128,3 +130,311 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
               align_words=FX_ALIGN_WORDS)
     return m.select("profile_id", "ord", "job_id", F.round("score", 6).alias("score"), "score_pct",
                     F.array_join("reasons", " | ").alias("reasons"))
+
+
+# --------------------------------------------------------------------------
+# shared fixture parameters for the gates
+# --------------------------------------------------------------------------
+FX_REGION_WORDS = ("asia",)
+FX_FOREIGN_WORDS = ("nation_2", "america")
+FX_TARGETS = ("nation_1", "india")
+
+_BOUND = r"[^\p{L}\p{N}_]"
+
+
+def _sql_contains_any(expr: str, words) -> str:
+    return "(" + " or ".join(f"contains({expr}, '{w}')" for w in words) + ")"
+
+
+def _sql_bounded_any(expr: str, words) -> str:
+    alts = "|".join(words)
+    return f"regexp_matches({expr}, '(^|{_BOUND})({alts})($|{_BOUND})')"
+
+
+def _sql_location_cols(src_loc="location", src_title="title") -> str:
+    loc = f"coalesce({src_loc}, '')"
+    low = f"lower({loc})"
+    in_region = f"({loc} = '' or {_sql_contains_any(low, FX_REGION_WORDS)})"
+    foreign = _sql_bounded_any(f"lower(concat(coalesce({src_title}, ''), ' ', {loc}))", FX_FOREIGN_WORDS)
+    from roleweave.functions import dictionaries as D
+
+    fallback = f"({_sql_contains_any(low, D.FALLBACK_PLACES)} and not {_sql_contains_any(low, D.EXCLUDED_CITIES)})"
+    keep = (f"(not {foreign} and ({loc} = '' or {_sql_contains_any(low, FX_TARGETS)} or {in_region} "
+            f"or {fallback}))")
+    return f"{in_region} as in_region, {foreign} as is_foreign, {keep} as keep_location"
+
+
+def _location_cols_spark(df):
+    from roleweave.operators import filters
+
+    return df.select(
+        "*",
+        filters.is_in_region("location", FX_REGION_WORDS).alias("in_region"),
+        filters.is_foreign("title", "location", FX_FOREIGN_WORDS).alias("is_foreign"),
+        filters.location_gate(FX_TARGETS, region_words=FX_REGION_WORDS, foreign_words=FX_FOREIGN_WORDS)
+        .alias("keep_location"),
+    )
+
+
+# --------------------------------------------------------------------------
+# P1, P2, P6, P7, P12, F10 — posting keys and derived columns
+# --------------------------------------------------------------------------
+POSTING_KEYS_SQL = S.with_ctes(r"""
+p as (select *, lower(coalesce(experience, '')) as s_exp from fx_postings),
+q as (select ord, md5(regexp_replace(lower(concat(title,'|',company,'|',url)), '^\s+|\s+$', '', 'g')) as job_id,
+             concat_ws(' ', title, description, company, location, '', experience) as job_text,
+             split_part(url, '?', 1) as url_no_query, substr(title, 1, 200) as short_title,
+             """ + _EXP_SQL + r""", s_exp from p)
+select ord, job_id, job_text, url_no_query, short_title, exp_min, exp_max,
+       (s_exp = '' or not (exp_min > 4 or exp_max < 1)) as keeps_experience
+from q
+""", "fx_postings")
+
+
+@register("posting_keys", POSTING_KEYS_SQL)
+def posting_keys(spark, sf_dir):
+    """P1 job id, P2 job text, P6 url without query, P7 title cut, P12 experience range, F10."""
+    from roleweave.functions import postings as P
+    from roleweave.operators.filters import keeps_experience
+
+    df = S.postings(spark, sf_dir)
+    rng = P.experience_range("experience")
+    return df.select("ord", P.job_id().alias("job_id"), P.job_text().alias("job_text"),
+                     P.strip_query("url").alias("url_no_query"), P.short_title("title").alias("short_title"),
+                     rng["min"].alias("exp_min"), rng["max"].alias("exp_max"),
+                     keeps_experience("experience").alias("keeps_experience"))
+
+
+# --------------------------------------------------------------------------
+# F1, F2, F3 — location gate
+# --------------------------------------------------------------------------
+LOCATION_GATE_SQL = S.with_ctes(f"""
+select ord, {_sql_location_cols()} from fx_postings
+""", "fx_postings")
+
+
+@register("location_gate", LOCATION_GATE_SQL)
+def location_gate(spark, sf_dir):
+    """F1 region words, F2 word-bounded foreign words, F3 strict location gate."""
+    return _location_cols_spark(S.postings(spark, sf_dir)).select("ord", "in_region", "is_foreign", "keep_location")
+
+
+# --------------------------------------------------------------------------
+# P11, F4, F12 — free-text dates, recency gate, freshness
+# --------------------------------------------------------------------------
+_ISO_RE = (r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6}))?)?)?"
+           r"([+-]\d{2}(?::?\d{2})?)?)?$")
+
+
+def _sql_posted_ts(raw: str, as_of: str) -> str:
+    s = f"regexp_replace(lower(coalesce({raw}, '')), '^\\s+|\\s+$', '', 'g')"
+    si = f"replace({s}, 'z', '+00:00')"
+    g = lambda i: f"regexp_extract({si}, '{_ISO_RE}', {i})"
+    num = lambda i: f"cast(coalesce(nullif({g(i)}, ''), '0') as integer)"
+    frac = f"cast(rpad(coalesce(nullif({g(7)}, ''), '0'), 6, '0') as integer) / 1000000.0"
+    off = g(8)
+    off_min = (f"(case when {off} = '' then 0 else "
+               f"(case when substr({off}, 1, 1) = '-' then -1 else 1 end) * "
+               f"(cast(substr({off}, 2, 2) as integer) * 60 + "
+               f"coalesce(try_cast(nullif(substr(replace({off}, ':', ''), 4, 2), '') as integer), 0)) end)")
+    iso = (f"try(make_timestamp({num(1)}, {num(2)}, {num(3)}, {num(4)}, {num(5)}, {num(6)} + {frac}) "
+           f"- to_minutes({off_min}))")
+    unit = f"regexp_extract({s}, '(\\d+)\\s+(day|week|month|year)', 2)"
+    n = f"try_cast(regexp_extract({s}, '(\\d+)\\s+(day|week|month|year)', 1) as integer)"
+    mult = f"(case {unit} when 'day' then 1 when 'week' then 7 when 'month' then 30 else 365 end)"
+    return (f"(case when coalesce({raw}, '') = '' then TIMESTAMP '{as_of}' - INTERVAL 86400 SECOND "
+            f"when regexp_matches({si}, '{_ISO_RE}') and {iso} is not null then {iso} "
+            f"when contains({s}, 'just now') or contains({s}, 'today') or contains({s}, 'hour') "
+            f"or contains({s}, 'minute') then TIMESTAMP '{as_of}' "
+            f"when regexp_matches({s}, '(\\d+)\\s+(day|week|month|year)') and {n} is not null "
+            f"then TIMESTAMP '{as_of}' - to_days({n} * {mult}) "
+            f"else TIMESTAMP '1970-01-01 00:00:00' end)")
+
+
+RECENCY_SQL = S.with_ctes(f"""
+d as (select ord, source, posted_date, {_sql_posted_ts('posted_date', S.AS_OF)} as ts from fx_postings)
+select ord, posted_date, strftime(ts, '%Y-%m-%d %H:%M:%S') as parsed_ts,
+       ts >= TIMESTAMP '{S.AS_OF}' - to_days(case when lower(coalesce(source, '')) = 'naukri' then 2 else 10 end)
+         as recent,
+       ts >= TIMESTAMP '{S.AS_OF}' - INTERVAL 86400 SECOND as fresh
+from d
+""", "fx_postings")
+
+
+@register("recency_gate", RECENCY_SQL)
+def recency_gate(spark, sf_dir):
+    """P11 free-text date -> timestamp, F4 per-source age gate, F12 freshness."""
+    from roleweave.functions.dates import is_fresh, posted_ts
+    from roleweave.operators.filters import is_recent
+
+    df = S.postings(spark, sf_dir).select("ord", "source", "posted_date",
+                                          posted_ts("posted_date", S.AS_OF).alias("ts"))
+    return df.select("ord", "posted_date", _ts_text("ts").alias("parsed_ts"),
+                     is_recent("ts", S.AS_OF).alias("recent"), is_fresh("ts", S.AS_OF).alias("fresh"))
+
+
+# --------------------------------------------------------------------------
+# J3, W1, O2, O3, W6, K4, P9, P10 — digest of un-notified matches
+# --------------------------------------------------------------------------
+_DIGEST_SQL_TAIL = r"""
+matched as (select * from scored where score >= {t}),
+todo as (select m.* from matched m where not exists (
+           select 1 from fx_seen s where s.notified = 1 and s.job_id = m.job_id)),
+keyed as (select *, case when coalesce(company, '') = '' then 'unknown'
+                         else lower(regexp_replace(company, '^\s+|\s+$', '', 'g')) end as company_key from todo),
+capped as (select * from (select *, row_number() over (partition by profile_id, company_key
+                                   order by posted_ts desc, score desc, ord) as cr from keyed) where cr <= 2),
+ranked as (select * from (select *, row_number() over (partition by profile_id
+                                   order by posted_ts desc, score desc, ord) as rank from capped) where rank <= 30),
+dig as (select r.*, p.title, p.url, p.location, p.source, p.description,
+               cast(trunc(r.score * 100) as integer) as pct,
+               array_to_string(case when len(r.rs) = 0 then ['Content similarity'] else r.rs end, ' | ') as reasons_text,
+               count(*) over (partition by r.profile_id) as total_found
+        from ranked r join {src} p on p.ord = r.ord)
+"""
+
+DIGEST_SQL = S.with_ctes(_MATCH_SQL_BODY + "," + _DIGEST_SQL_TAIL.format(t=FX_THRESHOLD, src="fx_postings") + f"""
+select profile_id, rank, ord, job_id, title, url, company, location, source, round(score, 6) as score,
+       pct as score_pct, case when pct >= 70 then 'high' when pct >= 40 then 'mid' else 'low' end as badge,
+       reasons_text as reasons,
+       concat(substr(coalesce(description, ''), 1, 200), case when length(coalesce(description, '')) > 200
+              then '...' else '' end) as snippet,
+       posted_ts >= TIMESTAMP '{S.AS_OF}' - INTERVAL 86400 SECOND as fresh, total_found
+from dig
+""", "fx_postings", "fx_profiles", "fx_seen")
+
+
+def _fx_matches(spark, sf_dir):
+    from roleweave.operators.matching import match
+
+    return match(S.profiles(spark, sf_dir), S.postings(spark, sf_dir), threshold=FX_THRESHOLD,
+                 align_words=FX_ALIGN_WORDS)
+
+
+def _fx_digest(spark, sf_dir):
+    from roleweave.functions.dates import is_fresh
+    from roleweave.operators import selection, state
+
+    notified = S.seen(spark, sf_dir).where(F.col("notified") == 1)
+    todo = state.unnotified(_fx_matches(spark, sf_dir), notified)
+    picked = selection.top_recent(selection.cap_per_company(todo)).withColumn("fresh", is_fresh("posted_ts", S.AS_OF))
+    return selection.digest_rows(picked, S.postings(spark, sf_dir))
+
+
+@register("digest", DIGEST_SQL)
+def digest(spark, sf_dir):
+    """J3 un-notified, W1 two per company, O2/O3 newest-first top 30, K4 digest rows."""
+    d = _fx_digest(spark, sf_dir)
+    return d.select("profile_id", "rank", "ord", "job_id", "title", "url", "company", "location", "source",
+                    F.round("score", 6).alias("score"), "score_pct", "badge",
+                    F.array_join("reasons", " | ").alias("reasons"), "snippet", "fresh", "total_found")
+
+
+DIGEST_TEXT_SQL = S.with_ctes(_MATCH_SQL_BODY + "," + _DIGEST_SQL_TAIL.format(t=FX_THRESHOLD, src="fx_postings") + r"""
+select profile_id,
+       concat('=== New Matches ===', chr(10), chr(10), string_agg(
+         concat(rank, '. ', coalesce(title, ''), ' at ', coalesce(company, ''),
+                chr(10), '   Location: ', coalesce(nullif(location, ''), 'N/A'),
+                chr(10), '   Match: ', pct, '%',
+                chr(10), '   Apply: ', coalesce(url, ''),
+                chr(10), '   Reasons: ', array_to_string(case when len(rs) = 0 then ['Content similarity'] else rs end, ', '),
+                chr(10)), chr(10) order by rank)) as message,
+       count(*) as n_jobs
+from dig group by profile_id
+""", "fx_postings", "fx_profiles", "fx_seen")
+
+
+@register("digest_text", DIGEST_TEXT_SQL)
+def digest_text(spark, sf_dir):
+    """K5: one plain-text digest message per profile."""
+    from roleweave.operators.selection import digest_text as render
+
+    return render(_fx_digest(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# K1, W4, J2 — rows a run adds to the seen table
+# --------------------------------------------------------------------------
+SEEN_APPEND_SQL = S.with_ctes(_MATCH_SQL_BODY + f""",
+matched as (select * from scored where score >= {FX_THRESHOLD}),
+firsts as (select * from (select *, row_number() over (partition by job_id order by score desc, ord, profile_id) as r
+                          from matched) where r = 1)
+select f.job_id, f.ord, f.profile_id, round(f.score, 6) as score, '{S.AS_OF}' as first_seen
+from firsts f where not exists (select 1 from fx_seen s where s.job_id = f.job_id)
+""", "fx_postings", "fx_profiles", "fx_seen")
+
+
+@register("seen_append", SEEN_APPEND_SQL)
+def seen_append(spark, sf_dir):
+    """K1 insert-or-ignore: first match per job id (W4) that is not yet seen."""
+    from roleweave.operators import state
+
+    m = _fx_matches(spark, sf_dir)
+    firsts = state.first_per_key(m)
+    new = state.unseen(firsts, S.seen(spark, sf_dir))
+    return new.select("job_id", "ord", "profile_id", F.round("score", 6).alias("score"),
+                      F.lit(S.AS_OF).alias("first_seen"))
+
+
+# --------------------------------------------------------------------------
+# A9 — run funnel per source
+# --------------------------------------------------------------------------
+FUNNEL_SQL = S.with_ctes(f"""
+g as (select source, {_sql_location_cols()}, {_sql_posted_ts('posted_date', S.AS_OF)} as ts from fx_postings)
+select source, count(*) as found, count_if(keep_location) as after_location,
+       count_if(keep_location and ts >= TIMESTAMP '{S.AS_OF}' - to_days(case when lower(coalesce(source, '')) = 'naukri'
+                then 2 else 10 end)) as after_date
+from g group by source
+""", "fx_postings")
+
+
+@register("run_funnel", FUNNEL_SQL)
+def run_funnel(spark, sf_dir):
+    """One pass of conditional counts per source: found -> location gate -> date gate."""
+    from roleweave.functions.dates import posted_ts
+    from roleweave.operators.filters import is_recent
+
+    df = _location_cols_spark(S.postings(spark, sf_dir)).withColumn("ts", posted_ts("posted_date", S.AS_OF))
+    return df.groupBy("source").agg(
+        F.count("*").alias("found"),
+        F.count_if("keep_location").alias("after_location"),
+        F.count_if(F.col("keep_location") & is_recent("ts", S.AS_OF)).alias("after_date"))
+
+
+# --------------------------------------------------------------------------
+# A1, A2, A5, O4 — state statistics and the paged listing
+# --------------------------------------------------------------------------
+STATS_SQL = S.with_ctes("""
+select count(*) as total_jobs_seen, cast(count_if(notified = 1) as bigint) as total_notified,
+       cast(floor((count(*) + 19) / 20) as bigint) as pages
+from fx_seen
+""", "fx_seen")
+
+
+@register("state_stats", STATS_SQL)
+def state_stats(spark, sf_dir):
+    """A1 total seen, A2 total notified, A5 listing pages of 20."""
+    from roleweave.operators.selection import page_count
+
+    seen = S.seen(spark, sf_dir)
+    return seen.agg(F.count("*").alias("total_jobs_seen"),
+                    F.count_if(F.col("notified") == 1).alias("total_notified")).select(
+        "total_jobs_seen", "total_notified", page_count(F.col("total_jobs_seen")).alias("pages"))
+
+
+LISTING_SQL = S.with_ctes("""
+select job_id, strftime(first_seen, '%Y-%m-%d') as first_seen_day, notified
+from fx_seen order by first_seen desc, job_id limit 20 offset 20
+""", "fx_seen")
+
+
+@register("seen_listing", LISTING_SQL)
+def seen_listing(spark, sf_dir):
+    """Second page (20 rows, offset 20) of the seen table, newest first."""
+    from roleweave.functions.dates import display_date
+    from roleweave.operators.selection import listing
+
+    seen = S.seen(spark, sf_dir).withColumn("score", F.lit(0.0))
+    page = listing(seen, limit=20, offset=20)
+    return page.select("job_id", display_date(F.date_format("first_seen", "yyyy-MM-dd")).alias("first_seen_day"),
+                       "notified")
