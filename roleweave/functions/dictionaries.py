@@ -58,8 +58,8 @@ EDUCATION_PATTERNS = (
     r"electrical engineering", r"mechanical engineering", r"university", r"institute", r"college",
 )
 
-# institution line: a whole line holding one of these words
-INSTITUTION_LINE_PATTERN = r"(?i).*\b(?:university|college|institute|academy|school of)\b.*"
+# institution line: a whole line holding one of these words (word-bounded, any case)
+INSTITUTION_WORDS = ("university", "college", "institute", "academy", "school of")
 INSTITUTION_LINE_MAX_CHARS = 60  # lines of this length or more are paragraphs, not names
 
 # --------------------------------------------------------------------------

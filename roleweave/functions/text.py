@@ -57,16 +57,119 @@ def java_regex(py_pattern: str, ignore_case: bool = False) -> str:
         out.append(ch)
         i += 1
     body = "".join(out)
-    flags = "(?U" + ("iu" if ignore_case else "") + ")"
+    flags = "(?Ud" + ("iu" if ignore_case else "") + ")"
     # a leading inline flag group of the Python pattern is merged into ours
     m = re.match(r"\(\?([a-z]+)\)", body)
     if m:
         extra = m.group(1).replace("i", "iu")
         body = body[m.end():]
-        flags = "(?U" + ("iu" if ignore_case else "") + extra + ")"
+        flags = "(?Ud" + ("iu" if ignore_case else "") + extra + ")"
     return flags + body
 
 
+def _starts_with_letter(p: str) -> bool:
+    """Does every way of matching ``p`` begin with an ASCII letter?  (Conservative:
+    a letter, or a non-capturing group whose top-level alternatives all do.)"""
+    if not p:
+        return False
+    if p[0].isascii() and p[0].isalpha():
+        return True
+    if p.startswith("(?:"):
+        depth, alts, cur = 0, [], ""
+        for i, ch in enumerate(p[3:], start=3):
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    alts.append(cur)
+                    rest = p[i + 1:]
+                    # a quantifier after the group could make it optional
+                    return not rest[:1] in ("?", "*", "{") and all(_starts_with_letter(a) for a in alts)
+                depth -= 1
+            elif ch == "|" and depth == 0:
+                alts.append(cur)
+                cur = ""
+                continue
+            cur += ch
+    return False
+
+
+def bounded_regex(py_pattern: str, ignore_case: bool = False) -> str:
+    """Java form of Python's ``\\b(?:pattern)\\b`` (same flags as :func:`java_regex`).
+
+    When the pattern provably starts (ends) with a letter, ``\\b`` there is just
+    "no word character before (after)", a single cheap look-around; otherwise the
+    full two-sided :data:`BOUNDARY` test is used.  Top-level alternation keeps
+    Python's binding (``\\bA|B\\b`` is ``\\bA`` or ``B\\b``).
+    """
+    if _has_top_level_alternation(py_pattern):
+        return java_regex(rf"\b{py_pattern}\b", ignore_case)
+    core = java_regex(py_pattern, ignore_case)
+    m = re.match(r"\(\?[a-zA-Z]+\)", core)
+    flags, body = core[: m.end()], core[m.end():]
+    head = NOT_WORD_BEHIND if _starts_with_letter(py_pattern) else BOUNDARY
+    tail = NOT_WORD_AHEAD if _ends_with_letter(py_pattern) else BOUNDARY
+    return flags + head + "(?:" + body + ")" + tail
+
+
+def _has_top_level_alternation(p: str) -> bool:
+    depth, esc, in_class = 0, False, False
+    for ch in p:
+        if esc:
+            esc = False
+            continue
+        if ch == "\\":
+            esc = True
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            return True
+    return False
+
+
+def _ends_with_letter(p: str) -> bool:
+    """Does every way of matching ``p`` end with an ASCII letter?  (Conservative.)"""
+    if not p:
+        return False
+    last = p[-1]
+    if last.isascii() and last.isalpha() and (len(p) < 2 or p[-2] != "\\"):
+        return True
+    if last == ")":
+        depth, i = 0, len(p) - 1
+        while i >= 0:
+            if p[i] == ")":
+                depth += 1
+            elif p[i] == "(":
+                depth -= 1
+                if depth == 0:
+                    break
+            i -= 1
+        inner = p[i + 1:-1]
+        if not inner.startswith("?:"):
+            return False
+        inner = inner[2:]
+        alts, depth, cur = [], 0, ""
+        for ch in inner:
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            if ch == "|" and depth == 0:
+                alts.append(cur)
+                cur = ""
+                continue
+            cur += ch
+        alts.append(cur)
+        return all(_ends_with_letter(a) for a in alts)
+    return False
+
+
 def quote(literal: str) -> str:
     """Java-regex quoting of a literal."""
     return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"

@@ -438,3 +438,120 @@ def seen_listing(spark, sf_dir):
     page = listing(seen, limit=20, offset=20)
     return page.select("job_id", display_date(F.date_format("first_seen", "yyyy-MM-dd")).alias("first_seen_day"),
                        "notified")
+
+
+# --------------------------------------------------------------------------
+# X1, X2, X5-X7, X10 — profiles extracted from the whole texts of `documents`
+# --------------------------------------------------------------------------
+def _re2_quote(w: str) -> str:
+    return r"\Q" + w.replace("'", "''") + r"\E"
+
+
+def _skills_sql(low: str) -> str:
+    from roleweave.functions import dictionaries as D
+
+    items = []
+    for w in sorted(set(D.TECHNICAL_SKILLS)):
+        lit = w.replace("'", "''")
+        items.append(f"case when contains({low}, '{lit}') and regexp_matches({low}, "
+                     f"'(^|{_BOUND}){_re2_quote(w)}($|{_BOUND})') then '{lit}' end")
+    return "list_filter([" + ", ".join(items) + "], lambda x: x is not null)"
+
+
+RESUME_SKILLS_SQL = f"""
+select doc_id, array_to_string({_skills_sql('lower(text)')}, ',') as skills from documents
+"""
+
+
+@register("resume_skills", RESUME_SKILLS_SQL)
+def resume_skills(spark, sf_dir):
+    """X1 over every document's whole text: bounded dictionary skills, sorted."""
+    from roleweave.operators.profiles import extract_skills
+    from roleweave.sources.tables import read_table
+
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(extract_skills("text"), ",").alias("skills"))
+
+
+_PY_SPACE = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_RE2_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}\b"
+_RE2_PHONE = r"\+?[\d" + _PY_SPACE + r"\-\(\)]{10,20}"
+_RE2_LINK = (r"(?:(?:https?|ftp):\/\/)?(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
+             r"(?:[-a-zA-Z0-9()@:%_\+.~#?&//=]*)")
+
+RESUME_CONTACTS_SQL = f"""
+select doc_id,
+       regexp_extract(text, '{_RE2_EMAIL}', 0) as email,
+       coalesce(regexp_replace(list_filter(regexp_extract_all(text, '{_RE2_PHONE}'),
+                  lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) >= 10)[1],
+                '^[{_PY_SPACE}]+|[{_PY_SPACE}]+$', '', 'g'), '') as phone,
+       array_to_string(list_distinct(list_transform(list_filter(regexp_extract_all(text, '{_RE2_LINK}'),
+                  lambda x: contains(lower(x), 'linkedin.com') or contains(lower(x), 'github.com')
+                         or contains(lower(x), 'gitlab.com') or contains(lower(x), 'portfolio')),
+                  lambda x: regexp_replace(x, '[.)\\]}}]+$', ''))), ' ') as links
+from documents
+"""
+
+
+@register("resume_contacts", RESUME_CONTACTS_SQL)
+def resume_contacts(spark, sf_dir):
+    """X5 first e-mail, X6 first phone-like run with >= 10 digits, X7 profile links."""
+    from roleweave.operators.profiles import extract_email, extract_links, extract_phone
+    from roleweave.sources.tables import read_table
+
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", extract_email("text").alias("email"), extract_phone("text").alias("phone"),
+                       F.array_join(extract_links("text"), " ").alias("links"))
+
+
+def _experience_sql() -> str:
+    from roleweave.functions import dictionaries as D
+    from roleweave.operators.profiles import date_range_pattern
+
+    sp = "[" + _PY_SPACE + "]"
+    rng = date_range_pattern().replace(r"\s", sp).replace("'", "''")
+    stated = [p.replace(r"\s", sp) for p in D.STATED_YEARS_PATTERNS]
+    year = D.YEAR_PATTERN
+    opens = "|".join(D.DATE_RANGE_OPEN_WORDS)
+    as_of_year = int(S.AS_OF[:4])  # the fixture clock is mid-day-safe: same year in IST
+    stated_arrays = " || ".join(
+        f"list_transform(regexp_extract_all(text, '(?i){p}', 1), lambda x: try_cast(x as bigint))" for p in stated)
+    return f"""
+r as (select doc_id, text, regexp_extract_all(text, '{rng}') as ranges from documents),
+y as (select *, flatten(list_transform(ranges, lambda m: list_transform(regexp_extract_all(m, '{year}', 1),
+                                        lambda x: cast(x as bigint)))) as years,
+             len(list_filter(ranges, lambda m: regexp_matches(m, '(?i){opens}'))) > 0 as has_open
+      from r),
+z as (select doc_id, case when len(years) > 0 and
+                (case when has_open then {as_of_year} else list_max(years) end) > list_min(years)
+              then (case when has_open then {as_of_year} else list_max(years) end) - list_min(years) end as span,
+             list_max(list_filter({stated_arrays}, lambda x: x is not null)) as stated
+      from y)
+select doc_id, cast(coalesce(span, stated, 0) as bigint) as experience_years from z
+"""
+
+
+RESUME_EXPERIENCE_SQL = "with " + _experience_sql()
+
+
+@register("resume_experience", RESUME_EXPERIENCE_SQL)
+def resume_experience(spark, sf_dir):
+    """X2 years of experience (month-year ranges, else stated years) over whole texts."""
+    from roleweave.operators.profiles import extract_experience_years
+    from roleweave.sources.tables import read_table
+
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", extract_experience_years("text", S.AS_OF).alias("experience_years"))
+
+
+@register("resume_profiles")
+def resume_profiles(spark, sf_dir):
+    """X10 build_profiles over every document (X1-X9, A10-A12) plus P15 search keyword."""
+    from roleweave.operators.profiles import build_profiles, search_keyword
+    from roleweave.sources.tables import read_table
+
+    docs = read_table(spark, sf_dir, "documents")
+    prof = build_profiles(docs, S.AS_OF, id_col="doc_id")
+    return prof.select("profile_id", "skills", "experience_years", "job_titles", "education", "email", "phone",
+                       "links", F.length("summary").alias("summary_chars"),
+                       search_keyword("job_titles").alias("search_keyword"))
