@@ -555,3 +555,66 @@ def resume_profiles(spark, sf_dir):
     return prof.select("profile_id", "skills", "experience_years", "job_titles", "education", "email", "phone",
                        "links", F.length("summary").alias("summary_chars"),
                        search_keyword("job_titles").alias("search_keyword"))
+
+
+# --------------------------------------------------------------------------
+# T1-T3, A6-A8, W5 — TF-IDF cosine: benchmark items (profiles) x documents
+# --------------------------------------------------------------------------
+FX_STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "that", "for", "on", "with", "as", "was", "by",
+                 "are", "be", "or", "an", "at", "from", "this", "la", "le", "de", "et", "les", "des", "en", "un",
+                 "une", "der", "die", "und", "das")
+FX_MAX_FEATURES = 5000
+
+
+def _sql_terms(table: str, id_col: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted(FX_STOP_WORDS))
+    return f"""
+  (select id, term, count(*) as tf from (
+     select id, tok as term from (
+       select id, unnest(l) as tok from (
+         select {id_col} as id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                            lambda t: not list_contains([{stop}], t)) as l from {table}))
+     union all
+     select id, concat(l[i], ' ', l[i + 1]) as term from (
+       select id, l, unnest(range(1, len(l))) as i from (
+         select {id_col} as id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                            lambda t: not list_contains([{stop}], t)) as l from {table})
+       where len(l) >= 2))
+   group by id, term)"""
+
+
+TFIDF_SQL = f"""
+with jt as {_sql_terms('documents', 'doc_id')},
+pt as {_sql_terms('benchmark', 'item_id')},
+m as (select count(*) + 1 as n from documents),
+stats as (select term, sum(tf) as tf_jobs, count(*) as df_jobs from jt group by term),
+cand as (select p.id as profile_id, s.term, coalesce(s.tf_jobs, 0) + coalesce(q.tf, 0) as total,
+                coalesce(s.df_jobs, 0) + case when q.tf is null then 0 else 1 end as df_p, coalesce(q.tf, 0) as tf_p
+         from (select distinct id from pt) p cross join stats s
+         left join pt q on q.id = p.id and q.term = s.term
+         union all
+         select q.id, q.term, q.tf, 1, q.tf from pt q where q.term not in (select term from stats)),
+vocab as (select * from (select *, row_number() over (partition by profile_id order by total desc, term) as r
+                         from cand) where r <= {FX_MAX_FEATURES}),
+idf as (select v.profile_id, v.term, v.tf_p, ln(m.n / (1.0 + v.df_p)) + 1.0 as idf from vocab v, m),
+pw as (select profile_id, term, tf_p * idf as w, idf from idf where tf_p > 0),
+pn as (select profile_id, sqrt(sum(w * w)) as pnorm from pw group by profile_id),
+jw as (select i.profile_id, j.id as doc_id, j.term, j.tf * i.idf as w from jt j join idf i on i.term = j.term),
+jn as (select profile_id, doc_id, sqrt(sum(w * w)) as jnorm from jw group by profile_id, doc_id),
+dot as (select jw.profile_id, jw.doc_id, sum(jw.w * pw.w) as dot
+        from jw join pw on pw.profile_id = jw.profile_id and pw.term = jw.term group by jw.profile_id, jw.doc_id)
+select d.profile_id, d.doc_id, round(d.dot / (jn.jnorm * pn.pnorm), 6) as cosine
+from dot d join jn using (profile_id, doc_id) join pn using (profile_id) where d.dot > 0
+"""
+
+
+@register("tfidf_cosine", TFIDF_SQL)
+def tfidf_cosine(spark, sf_dir):
+    """Per-profile-corpus TF-IDF cosine, benchmark items x every document (whole texts)."""
+    from roleweave.operators.tfidf import pair_cosine
+    from roleweave.sources.tables import read_table
+
+    bench = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("profile_id"), "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cos = pair_cosine(bench, docs, stop_words=FX_STOP_WORDS, max_features=FX_MAX_FEATURES)
+    return cos.select("profile_id", "doc_id", F.round("cosine", 6).alias("cosine"))
