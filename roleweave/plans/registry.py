@@ -618,3 +618,159 @@ def tfidf_cosine(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     cos = pair_cosine(bench, docs, stop_words=FX_STOP_WORDS, max_features=FX_MAX_FEATURES)
     return cos.select("profile_id", "doc_id", F.round("cosine", 6).alias("cosine"))
+
+
+# --------------------------------------------------------------------------
+# S1, S2, F5, F6, W3, P3, P5, P7 — postings harvested from page links
+# P4 — searched domain and company of each page's site
+# --------------------------------------------------------------------------
+FX_LINK_WORDS = ("the", "and")
+FX_KEYWORDS = "ther, tion"
+
+_WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _sql_strip(e: str) -> str:
+    return f"regexp_replace({e}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _sql_unescape(e: str) -> str:
+    out = e
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                    ("&nbsp;", "\u00a0"), ("&#34;", '"'), ("&#60;", "<"), ("&#62;", ">"), ("&amp;", "&")):
+        out = f"replace({out}, '{ent}', '{ch}')"
+    return out
+
+
+def _sql_title_case(e: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({e}, '(\\p{{L}}+|\\P{{L}}+)', 1), "
+            f"lambda r: concat(upper(substr(r, 1, 1)), lower(substr(r, 2)))), '')")
+
+
+def _sql_attr(attrs: str, name: str) -> str:
+    pat = rf"(?is)(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    pat = pat.replace("'", "''")
+    present = rf"(?is)(?:^|\s){name}\s*=".replace("'", "''")
+    val = (f"concat(regexp_extract({attrs}, '{pat}', 1), regexp_extract({attrs}, '{pat}', 2), "
+           f"regexp_extract({attrs}, '{pat}', 3))")
+    return f"(case when regexp_matches({attrs}, '{present}') then {_sql_unescape(val)} end)"
+
+
+def _sql_absolute(b: str, h: str) -> str:
+    scheme = f"regexp_extract({b}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)"
+    origin = f"regexp_extract({b}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1)"
+    no_frag = f"regexp_replace({b}, '#.*$', '')"
+    no_query = f"regexp_replace({no_frag}, '\\?.*$', '')"
+    path = f"regexp_extract({no_query}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*(/.*)?$', 1)"
+    d0 = f"regexp_replace({path}, '[^/]*$', '')"
+    directory = f"(case when {d0} = '' then '/' else {d0} end)"
+    return (f"(case when {h} = '' then {b} when regexp_matches({h}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') then {h} "
+            f"when starts_with({h}, '//') then concat({scheme}, ':', {h}) "
+            f"when starts_with({h}, '/') then concat({origin}, {h}) "
+            f"when starts_with({h}, '?') then concat({no_query}, {h}) "
+            f"when starts_with({h}, '#') then concat({no_frag}, {h}) "
+            f"else concat({origin}, {directory}, {h}) end)")
+
+
+def _sql_company_from_host(u: str) -> str:
+    host = f"replace(lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1)), 'www.', '')"
+    return _sql_title_case(f"split_part({host}, '.', 1)")
+
+
+def _anchor_sql() -> str:
+    from roleweave.functions import dictionaries as D
+
+    anchor = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+    noise = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+    url_re = "|".join(f"(?:{p})" for p in D.JOB_URL_PATTERNS)
+    link_words = " or ".join(f"contains(tl, '{w}')" for w in FX_LINK_WORDS)
+    from roleweave.sources.pages import keyword_tokens
+
+    toks = [t for t in keyword_tokens(FX_KEYWORDS) if len(t) > 3]
+    kw = " or ".join(f"contains(lower(text), '{t}')" for t in toks) or "false"
+    return f"""
+with c as (select page_id, url as page_url, regexp_replace(html, '{noise}', '', 'g') as h from pages
+           where html is not null and html <> ''),
+z as (select page_id, page_url, regexp_extract_all(h, '{anchor}', 1) as attrs, regexp_extract_all(h, '{anchor}', 2) as inns
+      from c),
+a0 as (select page_id, page_url, unnest(range(0, len(attrs))) as pos, attrs, inns from z),
+a1 as (select page_id, page_url, pos, attrs[pos + 1] as att, inns[pos + 1] as inn from a0),
+a2 as (select page_id, page_url, pos, {_sql_attr('att', 'href')} as href,
+              array_to_string(list_transform(string_split_regex(inn, '<[^>]*>'),
+                              lambda t: {_sql_strip(_sql_unescape('t'))}), '') as text0,
+              {_sql_attr('att', 'aria-label')} as aria, {_sql_attr('att', 'title')} as title_attr
+       from a1),
+a3 as (select page_id, page_url, pos, href,
+              case when length(text0) < 3 then coalesce(nullif(aria, ''), nullif(title_attr, ''), '') else text0 end
+                as text
+       from a2 where href is not null),
+a4 as (select *, {_sql_absolute('page_url', 'href')} as url, {_sql_strip('lower(text)')} as tl from a3
+       where length(text) >= 3),
+a5 as (select * from a4 where (regexp_matches(lower(href), '{url_re}') or (length(tl) > 5 and ({link_words})))
+                           and ({kw})),
+a6 as (select * from (select *, row_number() over (partition by page_id, url order by pos) as r from a5) where r = 1)
+select page_id, pos, substr(text, 1, 200) as title, {_sql_company_from_host('page_url')} as company,
+       'India' as location, url, 'career_page' as source,
+       md5(regexp_replace(lower(concat(substr(text, 1, 200), '|', {_sql_company_from_host('page_url')}, '|', url)),
+                          '^{_WS}+|{_WS}+$', '', 'g')) as job_id
+from a6
+"""
+
+
+@register("anchor_links", _anchor_sql())
+def anchor_links(spark, sf_dir):
+    """S1 page scan, S2 link harvest (F5 job-link test, F6 keyword tokens, W3 first per url,
+    P3 company from host, P5 absolute url, P7 title cut) over every page."""
+    from roleweave.sources.pages import harvest_links
+    from roleweave.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages")
+    out = harvest_links(pages, keywords=FX_KEYWORDS, link_words=FX_LINK_WORDS)
+    return out.select("page_id", "pos", "title", "company", "location", "url", "source", "job_id")
+
+
+def _sql_search_domain(u: str) -> str:
+    from roleweave.functions import dictionaries as D
+
+    dom = f"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1)"
+    parts = f"string_split({dom}, '.')"
+    n = f"len({parts})"
+    second = f"{parts}[-2]"
+    generic = "(" + " or ".join(f"{second} = '{x}'" for x in D.SECOND_LEVEL_LABELS) + ")"
+    last2 = f"concat({parts}[-2], '.', {parts}[-1])"
+    last3 = f"concat({parts}[-3], '.', {parts}[-2], '.', {parts}[-1])"
+    sd = f"(case when {n} > 2 and not {generic} then {last2} when {n} > 3 and {generic} then {last3} else {dom} end)"
+    for needle, repl in D.DOMAIN_OVERRIDES.items():
+        sd = f"(case when contains({sd}, '{needle}') then '{repl}' else {sd} end)"
+    for needle in D.FULL_HOST_DOMAINS:
+        sd = f"(case when contains({sd}, '{needle}') then {dom} else {sd} end)"
+    return sd
+
+
+def _sql_company_from_domain(sd: str) -> str:
+    from roleweave.functions import dictionaries as D
+
+    name = _sql_title_case(f"split_part({sd}, '.', 1)")
+    for needle, repl in D.COMPANY_NAME_OVERRIDES:
+        name = f"(case when contains({name}, '{needle}') then '{repl}' else {name} end)"
+    return name
+
+
+HOST_DOMAINS_SQL = f"""
+with d as (select page_id, url, {_sql_search_domain('url')} as search_domain from pages)
+select page_id, {_sql_company_from_host('url')} as host_company, search_domain,
+       {_sql_company_from_domain('search_domain')} as company
+from d
+"""
+
+
+@register("host_domains", HOST_DOMAINS_SQL)
+def host_domains(spark, sf_dir):
+    """P3 company from host; P4 searched domain and company name, for every page url."""
+    from roleweave.functions.urls import company_from_domain, company_from_host, search_domain
+    from roleweave.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    d = pages.withColumn("search_domain", search_domain("url"))
+    return d.select("page_id", company_from_host("url").alias("host_company"), "search_domain",
+                    company_from_domain(F.col("search_domain")).alias("company"))
