@@ -774,3 +774,87 @@ def host_domains(spark, sf_dir):
     d = pages.withColumn("search_domain", search_domain("url"))
     return d.select("page_id", company_from_host("url").alias("host_company"), "search_domain",
                     company_from_domain(F.col("search_domain")).alias("company"))
+
+
+# --------------------------------------------------------------------------
+# T13 — a whole run: F3 + P11/F4 gates -> T12 -> J3 -> W1 -> O3 -> K4, and K3
+# --------------------------------------------------------------------------
+_GATED_SQL = f"""
+gated as (
+  select * exclude (keep_location, ts, posted_ts), ts as posted_ts from (
+    select *, {_sql_location_cols()}, {_sql_posted_ts('posted_date', S.AS_OF)} as ts from fx_postings)
+  where keep_location
+    and ts >= TIMESTAMP '{S.AS_OF}' - to_days(case when lower(coalesce(source, '')) = 'naukri' then 2 else 10 end))"""
+
+_RUN_BODY = (_GATED_SQL + "," + _MATCH_SQL_TEMPLATE.replace("{src}", "gated") + ","
+             + _DIGEST_SQL_TAIL.format(t=FX_THRESHOLD, src="gated"))
+
+RUN_DIGEST_SQL = S.with_ctes(_RUN_BODY + f"""
+select profile_id, rank, ord, job_id, title, company, url, round(score, 6) as score, pct as score_pct,
+       reasons_text as reasons, strftime(posted_ts, '%Y-%m-%d %H:%M:%S') as posted_at,
+       posted_ts >= TIMESTAMP '{S.AS_OF}' - INTERVAL 86400 SECOND as fresh
+from dig
+""", "fx_postings", "fx_profiles", "fx_seen")
+
+RUN_LOG_SQL = S.with_ctes(_RUN_BODY + """
+select p.profile_id, (select count(*) from gated) as jobs_found,
+       cast(coalesce(c.n, 0) as bigint) as jobs_new, cast(coalesce(d.n, 0) as bigint) as jobs_notified
+from fx_profiles p
+left join (select profile_id, count(*) as n from capped group by profile_id) c on c.profile_id = p.profile_id
+left join (select profile_id, count(*) as n from ranked group by profile_id) d on d.profile_id = p.profile_id
+""", "fx_postings", "fx_profiles", "fx_seen")
+
+
+def _fx_run(spark, sf_dir):
+    from roleweave.functions.dates import posted_ts
+    from roleweave.plans.run import plan_run
+
+    posts = S.postings(spark, sf_dir).withColumn("posted_ts", posted_ts("posted_date", S.AS_OF))
+    seen = S.seen(spark, sf_dir)
+    return plan_run(
+        S.profiles(spark, sf_dir), posts, seen, seen.where(F.col("notified") == 1), S.AS_OF, run_id="fixture",
+        targets=FX_TARGETS, threshold=FX_THRESHOLD,
+        location_opts={"region_words": FX_REGION_WORDS, "foreign_words": FX_FOREIGN_WORDS},
+        match_opts={"align_words": FX_ALIGN_WORDS})
+
+
+@register("run_digest", RUN_DIGEST_SQL)
+def run_digest(spark, sf_dir):
+    """Location and date gates, matching, un-notified filter, company cap and the
+    newest-first top 30 per profile — the digest one run delivers."""
+    d = _fx_run(spark, sf_dir).digest
+    return d.select("profile_id", "rank", "ord", "job_id", "title", "company", "url",
+                    F.round("score", 6).alias("score"), "score_pct", F.array_join("reasons", " | ").alias("reasons"),
+                    _ts_text("posted_ts").alias("posted_at"), "fresh")
+
+
+@register("run_log", RUN_LOG_SQL)
+def run_log(spark, sf_dir):
+    """K3: one run-log row per profile (postings after the gates, un-notified after the
+    company cap, digest size)."""
+    return _fx_run(spark, sf_dir).run_log.select("profile_id", "jobs_found", "jobs_new", "jobs_notified")
+
+
+# --------------------------------------------------------------------------
+# ST1-ST3 — first-seen state kept by a file stream over `events`
+# --------------------------------------------------------------------------
+STREAM_FIRST_SEEN_SQL = """
+select user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first_seen
+from events group by user_id, event_type
+"""
+
+
+@register("stream_first_seen", STREAM_FIRST_SEEN_SQL)
+def stream_first_seen(spark, sf_dir):
+    """ST1/ST2: `events` read as a file stream (availableNow), first-seen time per
+    (user_id, event_type) kept by foreachBatch in an append-only state table."""
+    from roleweave.streaming.incremental import _scratch, file_stream, first_seen_stream
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = file_stream(spark, sf_dir, schema, glob="events.parquet")
+    root = _scratch(spark, "first-seen")
+    q = first_seen_stream(stream, ["user_id", "event_type"], "ts", f"{root}/state", f"{root}/ckpt")
+    q.awaitTermination()
+    st = spark.read.parquet(f"{root}/state")
+    return st.select("user_id", "event_type",
+                     F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
