@@ -858,3 +858,189 @@ def stream_first_seen(spark, sf_dir):
     st = spark.read.parquet(f"{root}/state")
     return st.select("user_id", "event_type",
                      F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
+
+
+# --------------------------------------------------------------------------
+# S5 / F8 — job-board API responses;  S6, J4, F13, F14 — search-API responses
+# (response bodies are stand-ins serialised by Spark from the `pages` table)
+# --------------------------------------------------------------------------
+_SIMPLE_ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
+_TITLE_RE = r"(?is)<title>(.*?)</title>"
+_H1_RE = r"(?is)<h1[^>]*>(.*?)</h1>"
+_P_RE = r"(?is)<p>([^<]*)</p>"
+_LANG_RE = r'<html lang="([^"]*)"'
+FX_SITE_REGION_WORDS = ("fr", "de")
+FX_API_PREFIX = "https://jobs.example.com/apply"
+
+
+def _job_api_bodies(spark, sf_dir):
+    from roleweave.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages")
+    hrefs = F.regexp_extract_all("html", F.lit(_SIMPLE_ANCHOR), 1)
+    texts = F.regexp_extract_all("html", F.lit(_SIMPLE_ANCHOR), 2)
+    loc = F.when(F.col("page_id") % 3 == 0, F.lit(None).cast("string")).otherwise(F.regexp_extract("html", _LANG_RE, 1))
+    jobs = F.transform(F.arrays_zip(hrefs.alias("h"), texts.alias("t")),
+                       lambda z: F.struct(z["t"].alias("title"), z["h"].alias("externalPath"),
+                                          loc.alias("locationsText")))
+    return pages.select("page_id", F.to_json(F.struct(jobs.alias("jobPostings"))).alias("body"))
+
+
+JOB_API_SQL = f"""
+with a as (select page_id, regexp_extract_all(html, '{_SIMPLE_ANCHOR}', 1) as hs,
+                  regexp_extract_all(html, '{_SIMPLE_ANCHOR}', 2) as ts,
+                  case when page_id % 3 = 0 then null else regexp_extract(html, '{_LANG_RE}', 1) end as lang
+           from pages),
+b as (select page_id, unnest(range(0, len(hs))) as pos, hs, ts, lang from a),
+c as (select page_id, pos, coalesce(ts[pos + 1], '') as title, 'PwC' as company, coalesce(lang, 'India') as location,
+             '' as description, concat('{FX_API_PREFIX}', coalesce(hs[pos + 1], '')) as url, 'Big4' as source from b)
+select * from c
+where (location <> '' and ({" or ".join(f"contains(lower(location), '{w}')" for w in FX_SITE_REGION_WORDS)}))
+   or contains(lower(title), 'india') or contains(lower(url), 'bangalore') or contains(lower(url), 'mumbai')
+"""
+
+
+@register("job_api_postings", JOB_API_SQL)
+def job_api_postings(spark, sf_dir):
+    """Postings parsed from job-board API JSON bodies, kept by the site region rule (F8)."""
+    from roleweave.sources.api_json import read_job_api
+
+    return read_job_api(_job_api_bodies(spark, sf_dir), FX_API_PREFIX, "PwC", region_words=FX_SITE_REGION_WORDS)
+
+
+def _search_inputs(spark, sf_dir):
+    from roleweave.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages")
+    even = F.col("page_id") % 2 == 0
+    page_res = F.struct(F.regexp_extract("html", _TITLE_RE, 1).alias("title"), F.col("url").alias("url"),
+                        F.when(even, F.regexp_extract("html", _H1_RE, 1)).alias("snippet"),
+                        F.when(~even, F.regexp_extract("html", _P_RE, 1)).alias("description"))
+    links = F.transform(F.arrays_zip(F.regexp_extract_all("html", F.lit(_SIMPLE_ANCHOR), 1).alias("h"),
+                                     F.regexp_extract_all("html", F.lit(_SIMPLE_ANCHOR), 2).alias("t")),
+                        lambda z: F.struct(z["t"].alias("title"), z["h"].alias("url"),
+                                           F.lit(None).cast("string").alias("snippet"),
+                                           F.lit(None).cast("string").alias("description")))
+    results = F.concat(F.array(page_res), links)
+    bodies = pages.select("page_id", F.col("url").alias("site_url"), F.lit("India").alias("location"),
+                          F.to_json(F.struct(results.alias("results"))).alias("body"))
+    descriptions = pages.where(even).select("url", F.regexp_extract("html", _H1_RE, 1).alias("text"))
+    return bodies, descriptions
+
+
+def _search_sql() -> str:
+    from roleweave.functions import dictionaries as D
+
+    excl = "|".join(D.SEARCH_EXCLUSIONS)
+    return f"""
+with r0 as (select page_id, url as site_url, 0 as pos, regexp_extract(html, '{_TITLE_RE}', 1) as raw_title, url,
+                   case when page_id % 2 = 0 then regexp_extract(html, '{_H1_RE}', 1) end as snip,
+                   case when page_id % 2 <> 0 then regexp_extract(html, '{_P_RE}', 1) end as descr
+            from pages),
+a as (select page_id, url as site_url, regexp_extract_all(html, '{_SIMPLE_ANCHOR}', 1) as hs,
+             regexp_extract_all(html, '{_SIMPLE_ANCHOR}', 2) as ts from pages),
+r1 as (select page_id, site_url, i + 1 as pos, ts[i + 1] as raw_title, hs[i + 1] as url, null as snip, null as descr
+       from (select *, unnest(range(0, len(hs))) as i from a)),
+r as (select *, coalesce(snip, descr, '') as snippet from (select * from r0 union all select * from r1)
+      where coalesce(raw_title, '') <> '' and coalesce(url, '') <> ''),
+f as (select * from r where not regexp_matches(lower(concat_ws(' ', raw_title, snippet)),
+                                             '(^|{_BOUND})({excl})($|{_BOUND})')),
+d as (select url, first(regexp_extract(html, '{_H1_RE}', 1)) as fetched from pages where page_id % 2 = 0 group by url)
+select f.page_id, f.site_url, f.pos, substr(f.raw_title, 1, 200) as title,
+       {_sql_company_from_domain(_sql_search_domain('f.site_url'))} as company, 'India' as location,
+       coalesce(nullif(d.fetched, ''), f.snippet) as description, f.url, 'search_api' as source
+from f left join d on d.url = f.url
+"""
+
+
+@register("search_postings", _search_sql())
+def search_postings(spark, sf_dir):
+    """S6 search-API results (F14 presence, F13 exclusions, P4 company), J4 fetched
+    descriptions joined by url."""
+    from roleweave.sources.api_json import read_search_results
+
+    bodies, descriptions = _search_inputs(spark, sf_dir)
+    return read_search_results(bodies, descriptions)
+
+
+# --------------------------------------------------------------------------
+# S10, J6 — search frontier;  W2 — stop paging at the first empty page
+# --------------------------------------------------------------------------
+FX_LOCATIONS = ("Bangalore", "Pune", "Remote India")
+
+
+def _frontier_sql() -> str:
+    locs = ", ".join(f"({i}, '{x}')" for i, x in enumerate(FX_LOCATIONS))
+    qp = lambda e: f"replace(url_encode({e}), '%20', '+')"
+    slug = lambda e: f"replace(lower({e}), ' ', '-')"
+    return f"""
+with k as (select distinct p_name as keyword from part),
+l as (select * from (values {locs}) t(r, location)),
+g as (select keyword, location, page from k, l, range(1, 4) t(page))
+select keyword, location, page,
+       concat('https://www.naukri.com/', {slug('keyword')}, '-jobs-in-', {slug('location')},
+              case when page > 1 then concat('-', page) else '' end, '?jobAge=2') as naukri_url,
+       concat('https://www.linkedin.com/jobs/search?keywords=', {qp('keyword')}, '&location=', {qp('location')},
+              '&trk=public_jobs_jobs-search-bar_search-submit&position=1&pageNum=0&start=', (page - 1) * 25,
+              '&f_TPR=r604800') as linkedin_url,
+       case when page > 1 then concat('https://careers.cognizant.com/global/en/search-results?keywords=',
+                                       {qp('keyword')}, '&from=', (page - 1) * 10, '&s=1')
+            else concat('https://careers.cognizant.com/global/en/search-results?keywords=', {qp('keyword')}) end
+         as cognizant_url
+from g
+"""
+
+
+@register("search_frontier", _frontier_sql())
+def search_frontier(spark, sf_dir):
+    """S10 + J6: keyword (every part name) x configured location x page -> site URLs."""
+    from roleweave.sources.frontier import frontier
+    from roleweave.sources.tables import read_table
+
+    return frontier(read_table(spark, sf_dir, "part"), "p_name", FX_LOCATIONS, max_pages=3)
+
+
+def _page_stop_sql() -> str:
+    from roleweave.functions import dictionaries as D
+
+    url_re = "|".join(f"(?:{p})" for p in D.JOB_URL_PATTERNS)
+    words = " or ".join(f"contains(tl, '{w}')" for w in FX_LINK_WORDS)
+    anchor = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+    noise = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+    return f"""
+with c as (select page_id, url, regexp_replace(coalesce(html, ''), '{noise}', '', 'g') as h from pages),
+z as (select page_id, regexp_extract_all(h, '{anchor}', 1) as attrs, regexp_extract_all(h, '{anchor}', 2) as inns
+      from c),
+a1 as (select page_id, attrs[i + 1] as att, inns[i + 1] as inn from (select *, unnest(range(0, len(attrs))) as i from z)),
+a2 as (select page_id, {_sql_attr('att', 'href')} as href,
+              array_to_string(list_transform(string_split_regex(inn, '<[^>]*>'),
+                              lambda t: {_sql_strip(_sql_unescape('t'))}), '') as text from a1),
+a3 as (select page_id, href, {_sql_strip('lower(text)')} as tl from a2 where href is not null),
+n as (select page_id, count(*) as n_cards from a3
+      where regexp_matches(lower(href), '{url_re}') or (length(tl) > 5 and ({words})) group by page_id),
+p as (select c.page_id, lower(regexp_extract(c.url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1)) as host,
+             coalesce(try_cast(nullif(regexp_extract(c.url, '[?&]page=([0-9]+)', 1), '') as integer), 1) as page_no,
+             coalesce(n.n_cards, 0) as n_cards
+      from c left join n on n.page_id = c.page_id),
+q as (select *, min(case when n_cards = 0 then page_no end) over (partition by host) as first_empty from p)
+select page_id, host, page_no, n_cards from q where first_empty is null or page_no < first_empty
+"""
+
+
+@register("page_stop", _page_stop_sql())
+def page_stop(spark, sf_dir):
+    """Pages grouped by site, numbered from their url; a site's pages at and after its
+    first page without job links (F5 on the S2 anchors) are dropped."""
+    from roleweave.functions.urls import netloc
+    from roleweave.sources.frontier import stop_at_first_empty
+    from roleweave.sources.pages import anchors, is_job_link
+    from roleweave.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages")
+    cards = (anchors(pages).where(is_job_link("href", "text", link_words=FX_LINK_WORDS))
+             .groupBy("page_id").agg(F.count("*").alias("n_cards")))
+    p = pages.select("page_id", F.lower(netloc("url")).alias("host"),
+                     F.coalesce(F.nullif(F.regexp_extract("url", r"[?&]page=([0-9]+)", 1), F.lit("")).try_cast("int"),
+                                F.lit(1)).alias("page_no"))
+    p = p.join(cards, "page_id", "left").withColumn("n_cards", F.coalesce("n_cards", F.lit(0)).cast("bigint"))
+    return stop_at_first_empty(p, ["host"]).select("page_id", "host", "page_no", "n_cards")
