@@ -42,11 +42,11 @@ def _ints(arr: Column) -> Column:
     return F.filter(F.transform(arr, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
 
 
-def date_range_pattern(months: str = D.MONTHS_PATTERN) -> str:
+def date_range_pattern(months: str = D.MONTHS_PATTERN, with_bounds: bool = True) -> str:
     seps = "|".join(D.DATE_RANGE_SEPARATORS)
     opens = "|".join(D.DATE_RANGE_OPEN_WORDS)
-    return (rf"(?i)\b{months}\s*(?:'?\d{{2,4}})\s*(?:{seps})\s*"
-            rf"(?:{months}\s*(?:'?\d{{2,4}})|{opens})\b")
+    body = rf"{months}\s*(?:'?\d{{2,4}})\s*(?:{seps})\s*(?:{months}\s*(?:'?\d{{2,4}})|{opens})"
+    return rf"(?i)\b{body}\b" if with_bounds else body
 
 
 def extract_experience_years(text="text", as_of=None) -> Column:
@@ -59,7 +59,9 @@ def extract_experience_years(text="text", as_of=None) -> Column:
     "N years of experience" / "experience: N years" / "N years in ...", or 0.
     """
     t = col(text)
-    ranges = F.regexp_extract_all(t, F.lit(java_regex(date_range_pattern())), 0)
+    # the range starts with a month name and ends with a digit or a word, so Python's
+    # \b on either side is the one-sided test (cheap); see bounded_regex
+    ranges = F.regexp_extract_all(t, F.lit(bounded_regex(date_range_pattern(with_bounds=False), ignore_case=True)), 0)
     year_re = java_regex(D.YEAR_PATTERN)
     years = F.flatten(F.transform(ranges, lambda m: _ints(F.regexp_extract_all(m, F.lit(year_re), 1))))
     open_re = java_regex(r"(?i)" + "|".join(D.DATE_RANGE_OPEN_WORDS))
@@ -114,8 +116,9 @@ def extract_education(text="text", patterns: Iterable[str] = D.EDUCATION_PATTERN
 
 
 def extract_email(text="text") -> Column:
-    """First e-mail address, "" when none."""
-    return F.regexp_extract(col(text), java_regex(D.EMAIL_PATTERN), 0)
+    """First e-mail address, "" when none (texts without "@" skip the search)."""
+    t = col(text)
+    return F.when(t.contains("@"), F.regexp_extract(t, java_regex(D.EMAIL_PATTERN), 0)).otherwise(F.lit(""))
 
 
 def extract_phone(text="text") -> Column:
@@ -129,7 +132,14 @@ def extract_links(text="text", keep: Iterable[str] = D.LINK_KEEP_WORDS) -> Colum
     """Profile links (linkedin, github, gitlab, portfolio), trailing punctuation
     removed, first-occurrence order, no repeats."""
     keep = list(keep)
-    found = F.regexp_extract_all(col(text), F.lit(java_regex(D.LINK_PATTERN)), 0)
+    t = col(text)
+    # a kept link contains one of the keep words, so a text without any has no kept
+    # link: skip the (backtracking-heavy) URL search there
+    low_t = F.lower(t)
+    any_word = None
+    for w in keep:
+        any_word = low_t.contains(w) if any_word is None else (any_word | low_t.contains(w))
+    found = F.when(any_word, F.regexp_extract_all(t, F.lit(java_regex(D.LINK_PATTERN)), 0)).otherwise(_empty())
 
     def wanted(x):
         low = F.lower(x)
