@@ -1044,3 +1044,30 @@ def page_stop(spark, sf_dir):
                                 F.lit(1)).alias("page_no"))
     p = p.join(cards, "page_id", "left").withColumn("n_cards", F.coalesce("n_cards", F.lit(0)).cast("bigint"))
     return stop_at_first_empty(p, ["host"]).select("page_id", "host", "page_no", "n_cards")
+
+
+# --------------------------------------------------------------------------
+# S3, S4, J7, F7-F9 — cards from site markup (rows-only: HTML parsing has no SQL twin)
+# --------------------------------------------------------------------------
+FX_CARD_RULES = {"generic": {"card_sel": "nav li", "title_sel": "a"}}
+
+
+def fx_card_rules(spark):
+    from roleweave.sources.cards import RULES_SCHEMA
+
+    return spark.createDataFrame(
+        [("generic", "career_page", "https://jobs.example.com", False, "Example", "India", True, True, False, [],
+          False, False, [], "")], RULES_SCHEMA)
+
+
+@register("page_cards")
+def page_cards(spark, sf_dir):
+    """S3 card harvest (html.parser per page in mapInPandas) + S4 normalisation under the
+    site rules table (J7 broadcast join; F7 validity, F8 region, F9 searched place), every page."""
+    from roleweave.sources.cards import cards_to_postings, harvest_cards
+    from roleweave.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages").withColumn("site", F.lit("generic"))
+    raw = harvest_cards(pages, FX_CARD_RULES)
+    return cards_to_postings(raw, fx_card_rules(spark)).select(
+        "page_id", "card_no", "title", "company", "location", "url", "source")
