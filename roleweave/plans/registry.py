@@ -318,7 +318,8 @@ def _fx_digest(spark, sf_dir):
     notified = S.seen(spark, sf_dir).where(F.col("notified") == 1)
     todo = state.unnotified(_fx_matches(spark, sf_dir), notified)
     picked = selection.top_recent(selection.cap_per_company(todo)).withColumn("fresh", is_fresh("posted_ts", S.AS_OF))
-    return selection.digest_rows(picked, S.postings(spark, sf_dir))
+    bound = S.profiles(spark, sf_dir).count() * 30
+    return selection.digest_rows(picked, S.postings(spark, sf_dir), max_rows=bound)
 
 
 @register("digest", DIGEST_SQL)

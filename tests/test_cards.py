@@ -49,3 +49,24 @@ def test_cards_to_postings(spark):
     assert out[(2, 0)]["company"] == "ExampleTech" and out[(2, 0)]["url"] == "https://careers.example.com/job/9"
     assert (2, 1) not in out                      # F8: Dubai is not in the region
     assert (2, 2) not in out                      # no title element -> skipped
+
+
+def test_embedded_json(spark):
+    from roleweave.sources.api_json import read_embedded_json
+
+    html = ('<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"initialState":'
+            '{"jobSearch":{"jobDetails":[{"title":"Java Dev"},{"title":"SRE"}]}}}}}</script></html>')
+    df = spark.createDataFrame([(1, html), (2, "<html></html>")], "page_id long, html string")
+    got = {r["page_id"]: r["embedded"] for r in
+           read_embedded_json(df, "__NEXT_DATA__", "$.props.pageProps.initialState.jobSearch.jobDetails[*].title")
+           .collect()}
+    assert got == {1: '["Java Dev","SRE"]', 2: None}
+
+
+def test_union_sources(spark):
+    from roleweave.sources.registry import union_sources
+
+    a = spark.createDataFrame([("t1", "u1")], "title string, url string")
+    b = spark.createDataFrame([("t1", "u1", "x")], "title string, url string, company string")
+    rows = union_sources([a, b]).collect()
+    assert len(rows) == 2 and rows[0]["company"] is None  # UNION ALL, no cross-source dedup
