@@ -17,6 +17,7 @@ from roleweave.functions import dictionaries as D
 from roleweave.functions.dates import IST_ZONE, as_of_lit
 from roleweave.functions.text import bounded_regex, col, dictionary_hits, java_regex, strip, title_case
 from roleweave.operators.dictionary import hits_udf
+from roleweave.operators.sizing import spread
 
 
 
@@ -183,8 +184,7 @@ def build_profiles(resumes: DataFrame, as_of=None, id_col: str = "profile_id", t
     "could not extract" marker.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    blank = strip(t) == ""
-    df = resumes.select(F.col(id_col).alias("profile_id"), t.alias("raw_text"))
+    df = spread(resumes, id_col).select(F.col(id_col).alias("profile_id"), t.alias("raw_text"))
     df = df.select(
         "profile_id", "raw_text",
         extract_skills("raw_text", skills).alias("skills"),

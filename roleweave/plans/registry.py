@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roleweave.operators.sizing import spread
 from roleweave.plans import stand_ins as S
 from roleweave.session import prepare
 
@@ -470,7 +471,7 @@ def resume_skills(spark, sf_dir):
     from roleweave.operators.profiles import extract_skills
     from roleweave.sources.tables import read_table
 
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", F.array_join(extract_skills("text"), ",").alias("skills"))
 
 
@@ -500,7 +501,7 @@ def resume_contacts(spark, sf_dir):
     from roleweave.operators.profiles import extract_email, extract_links, extract_phone
     from roleweave.sources.tables import read_table
 
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", extract_email("text").alias("email"), extract_phone("text").alias("phone"),
                        F.array_join(extract_links("text"), " ").alias("links"))
 
@@ -541,7 +542,7 @@ def resume_experience(spark, sf_dir):
     from roleweave.operators.profiles import extract_experience_years
     from roleweave.sources.tables import read_table
 
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", extract_experience_years("text", S.AS_OF).alias("experience_years"))
 
 
