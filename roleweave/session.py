@@ -17,11 +17,34 @@ SESSION_CONFS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the executors' Python workers (``addPyFile``
+    of a zip built once per application): the Arrow UDFs and ``mapInPandas``
+    functions live in package modules."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    import tempfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="roleweave-pyfiles-")
+    zip_path = shutil.make_archive(os.path.join(out, "roleweave"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                   base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply :data:`SESSION_CONFS` to an existing session (idempotent)."""
+    """Apply :data:`SESSION_CONFS` to an existing session and ship the package to the
+    executors (both idempotent)."""
     for k, v in SESSION_CONFS.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
@@ -40,6 +63,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
