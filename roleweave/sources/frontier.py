@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roleweave.functions import dictionaries as D
@@ -71,9 +71,15 @@ def frontier(keywords: DataFrame, keyword_col: str, locations: Iterable[str], ma
 
 def stop_at_first_empty(pages: DataFrame, search_cols: Iterable[str], page_col: str = "page_no",
                         count_col: str = "n_cards") -> DataFrame:
-    """Per search, keep the pages before the first page that yielded no card."""
-    w = Window.partitionBy(*search_cols)
-    first_empty = F.min(F.when(F.col(count_col) == 0, F.col(page_col))).over(w)
-    return (pages.withColumn("_first_empty", first_empty)
+    """Per search, keep the pages before the first page that yielded no card.
+
+    The first empty page per search is an aggregate (partially computed before the
+    shuffle, so a search holding a third of all pages is no hot task) joined back
+    on the search key.
+    """
+    keys = list(search_cols)
+    first_empty = pages.groupBy(*keys).agg(
+        F.min(F.when(F.col(count_col) == 0, F.col(page_col))).alias("_first_empty"))
+    return (pages.join(first_empty, keys, "left")
             .where(F.col("_first_empty").isNull() | (F.col(page_col) < F.col("_first_empty")))
             .drop("_first_empty"))
