@@ -265,11 +265,11 @@ from d
 @register("recency_gate", RECENCY_SQL)
 def recency_gate(spark, sf_dir):
     """P11 free-text date -> timestamp, F4 per-source age gate, F12 freshness."""
-    from roleweave.functions.dates import is_fresh, posted_ts
+    from roleweave.functions.dates import is_fresh, with_posted_ts
     from roleweave.operators.filters import is_recent
 
-    df = S.postings(spark, sf_dir).select("ord", "source", "posted_date",
-                                          posted_ts("posted_date", S.AS_OF).alias("ts"))
+    df = with_posted_ts(S.postings(spark, sf_dir).select("ord", "source", "posted_date"), "posted_date", S.AS_OF,
+                        out="ts")
     return df.select("ord", "posted_date", _ts_text("ts").alias("parsed_ts"),
                      is_recent("ts", S.AS_OF).alias("recent"), is_fresh("ts", S.AS_OF).alias("fresh"))
 
@@ -393,10 +393,10 @@ from g group by source
 @register("run_funnel", FUNNEL_SQL)
 def run_funnel(spark, sf_dir):
     """One pass of conditional counts per source: found -> location gate -> date gate."""
-    from roleweave.functions.dates import posted_ts
+    from roleweave.functions.dates import with_posted_ts
     from roleweave.operators.filters import is_recent
 
-    df = _location_cols_spark(S.postings(spark, sf_dir)).withColumn("ts", posted_ts("posted_date", S.AS_OF))
+    df = with_posted_ts(_location_cols_spark(S.postings(spark, sf_dir)), "posted_date", S.AS_OF, out="ts")
     return df.groupBy("source").agg(
         F.count("*").alias("found"),
         F.count_if("keep_location").alias("after_location"),
@@ -808,10 +808,10 @@ left join (select profile_id, count(*) as n from ranked group by profile_id) d o
 
 
 def _fx_run(spark, sf_dir):
-    from roleweave.functions.dates import posted_ts
+    from roleweave.functions.dates import with_posted_ts
     from roleweave.plans.run import plan_run
 
-    posts = S.postings(spark, sf_dir).withColumn("posted_ts", posted_ts("posted_date", S.AS_OF))
+    posts = with_posted_ts(S.postings(spark, sf_dir), "posted_date", S.AS_OF)
     seen = S.seen(spark, sf_dir)
     return plan_run(
         S.profiles(spark, sf_dir), posts, seen, seen.where(F.col("notified") == 1), S.AS_OF, run_id="fixture",

@@ -91,3 +91,14 @@ def test_search_domains(spark):
     got = [(r["sd"], r["c"]) for r in df.select("sd", company_from_domain(F.col("sd")).alias("c")).collect()]
     assert got == [("hcltech.com", "Hcltech"), ("tcs.com", "TCS"), ("x.y.oraclecloud.com", "X"),
                    ("example.co.in", "Example"), ("wipro.com", "Wipro"), ("infosys.com", "Infosys")]
+
+
+def test_with_posted_ts_equals_column_form(spark):
+    from roleweave.functions.dates import with_posted_ts
+
+    texts = ["", "Just now", "2 days ago", "2023-10-25", "2023-10-25T10:00:00Z", "20231025", "30+ days ago",
+             " 5 weeks ago ", "2023-02-30", "12 hours ago", None]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    a = [r[0] for r in df.select(posted_ts("d", AS_OF)).collect()]
+    b = [r["posted_ts"] for r in with_posted_ts(df, "d", AS_OF).collect()]
+    assert a == b
