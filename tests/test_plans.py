@@ -34,3 +34,13 @@ def test_scan_reads_only_needed_columns(spark):
     nation = read_table(spark, SF001, "nation").where(is_in_region("n_name", ["nation_1"])).select("n_nationkey")
     plan = nation._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<n_nationkey:int,n_name:string>" in plan
+
+
+def test_no_cartesian_or_nested_loop_join_in_registered_queries(spark):
+    from roleweave.plans import registry as R
+
+    for name, q in R.QUERIES.items():
+        if name == "stream_first_seen":  # runs its stream while building
+            continue
+        plan = _plan(q(spark, SF001))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
