@@ -425,21 +425,26 @@ def state_stats(spark, sf_dir):
 
 
 LISTING_SQL = S.with_ctes("""
-select job_id, strftime(first_seen, '%Y-%m-%d') as first_seen_day, notified
+select job_id, strftime(first_seen, '%Y-%m-%d') as first_seen_day,
+       concat(strftime(first_seen + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%f'), '+05:30') as first_seen_ist,
+       substr(concat(strftime(first_seen + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%f'), '+05:30'), 1, 16)
+         as first_seen_minute,
+       notified
 from fx_seen order by first_seen desc, job_id limit 20 offset 20
 """, "fx_seen")
 
 
 @register("seen_listing", LISTING_SQL)
 def seen_listing(spark, sf_dir):
-    """Second page (20 rows, offset 20) of the seen table, newest first."""
-    from roleweave.functions.dates import display_date
+    """Second page (20 rows, offset 20) of the seen table, newest first; P13 IST
+    rendering and P14 display cuts of the first-seen time."""
+    from roleweave.functions.dates import display_date, display_minute, ist_iso
     from roleweave.operators.selection import listing
 
     seen = S.seen(spark, sf_dir).withColumn("score", F.lit(0.0))
-    page = listing(seen, limit=20, offset=20)
+    page = listing(seen, limit=20, offset=20).withColumn("first_seen_ist", ist_iso("first_seen"))
     return page.select("job_id", display_date(F.date_format("first_seen", "yyyy-MM-dd")).alias("first_seen_day"),
-                       "notified")
+                       "first_seen_ist", display_minute("first_seen_ist").alias("first_seen_minute"), "notified")
 
 
 # --------------------------------------------------------------------------
