@@ -3,8 +3,9 @@
 The driver ships no posting or profile table, so these builders only reshape
 its tables into rows of the schemas the jobs expect; they do none of the jobs'
 work and the jobs take nothing from how they are made.  Whole tables are used
-(no id subsets).  Each builder has its SQL twin in :data:`SQL` for the DuckDB
-oracle, written so that the two agree row for row.
+(no id subsets).  Each builder has a SQL twin (:data:`POSTINGS_SQL`,
+:data:`PROFILES_SQL`, :data:`SEEN_SQL`) used by the DuckDB oracles, written so
+that the two agree row for row.
 """
 
 from __future__ import annotations
