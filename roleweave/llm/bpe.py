@@ -162,17 +162,17 @@ class WordBpe:
         self.known: dict[str, bytes] = {}
         self.known_pieces: dict[str, bytes] = {}
         self.pattern = _split_pattern(spec)
-        #: How the pre-tokenizer writes the bytes of each character below U+0250.
-        self.as_bytes = {i: got[0][0] for i in range(0x250) if (got := self.split(chr(i)))}
+        #: How the pre-tokenizer writes the bytes of each character below U+0180.
+        self.as_bytes = {i: got[0][0] for i in range(0x180) if (got := self.split(chr(i)))}
         self.words_kept, self.longest_kept = words_kept, longest_kept
 
     def pieces(self, part: str) -> list[str]:
         """The pre-tokenizer's pieces of a run without white space or special tokens.
 
-        Plain Latin letters, digits and signs (below U+0250, where composition changes
+        Plain Latin letters, digits and signs (below U+0180, where composition changes
         nothing) go through the file's own pattern; everything else through the library.
         """
-        if self.pattern and (part.isascii() or max(part) < "\u0250" and "\u0130" not in part):
+        if self.pattern and (part.isascii() or max(part) < "\u0180" and "\u0130" not in part):
             found = [part.lower()] if part.isalpha() else self.pattern.findall(part.lower())
             return found if part.isascii() and part.isprintable() else [p.translate(self.as_bytes) for p in found]
         return [p for p, _ in self.split(self.normalize(part))]

@@ -53,6 +53,8 @@ CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td"
 SIGMA = 1.0
 
 _NAMES = re.compile(r"[A-Za-z]+")
+#: A tag that the page's end cuts off.
+_UNFINISHED = re.compile(r"</?[A-Za-z][^<>]*\Z")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -201,7 +203,7 @@ def main_text(html: str) -> str:
     if "<" not in html and "&" not in html:
         return " ".join(html.split())
     page = Lines()
-    page.feed(html)
+    page.feed(_UNFINISHED.sub("", html))
     page.close()
     page.flush_line()
     if not any(text for text, _, _ in page.lines):
