@@ -115,8 +115,8 @@ MONTHS_PATTERN = (
     r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
     r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-DATE_RANGE_SEPARATORS = ("-", "to", "–", "—", "")
-DATE_RANGE_OPEN_WORDS = ("present", "current", "now", "date")
+DATE_RANGE_PATTERN = rf"{MONTHS_PATTERN}\s*(?:'?\d{{2,4}})\s*(?:-|to|–|—|)\s*(?:{MONTHS_PATTERN}\s*(?:'?\d{{2,4}})|present|current|now|date)"
+DATE_RANGE_OPEN_PATTERN = r"present|current|now|date"
 YEAR_PATTERN = r"\b(199\d|20\d{2})\b"
 STATED_YEARS_PATTERNS = (
     r"(\d+)\+?\s*(?:years?|yrs?)\s+(?:of\s+)?experience",

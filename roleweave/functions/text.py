@@ -238,15 +238,23 @@ def dictionary_hits(c: str | Column, words: Iterable[str], bounded: bool) -> Col
     the regex is only evaluated for the few words that occur at all.
     """
     target = col(c)
+    words = sorted(set(words))
+    whole: list[str] = []
+    if bounded:
+        # a word of word characters alone is bounded exactly where it is a whole token
+        whole = [w for w in words if w and all(ch.isalnum() or ch == "_" for ch in w)]
+        words = [w for w in words if w not in set(whole)]
     items = []
-    for w in sorted(set(words)):
+    for w in words:
         hit = target.contains(w)
         if bounded:
             hit = hit & target.rlike(skill_regex(w))
         items.append(F.when(hit, F.lit(w)))
-    if not items:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    found = F.filter(F.array(*items), lambda x: x.isNotNull()) if items else F.array().cast("array<string>")
+    if not whole:
+        return found
+    tokens = F.split(target, r"[^\p{L}\p{N}_]+")
+    return F.sort_array(F.concat(F.array_intersect(F.array(*[F.lit(w) for w in whole]), tokens), found))
 
 
 def truncate(c: str | Column, n: int) -> Column:

@@ -16,40 +16,26 @@ from pyspark.sql import functions as F
 from roleweave.functions import dictionaries as D
 from roleweave.functions.dates import IST_ZONE, as_of_lit
 from roleweave.functions.text import bounded_regex, col, dictionary_hits, java_regex, strip, title_case
-from roleweave.operators.dictionary import hits_udf
-from roleweave.operators.sizing import spread
-
 
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def extract_skills(text="text", skills: Iterable[str] = D.TECHNICAL_SKILLS, method: str = "aho") -> Column:
+def extract_skills(text="text", skills: Iterable[str] = D.TECHNICAL_SKILLS) -> Column:
     """Sorted distinct dictionary skills occurring in ``lower(text)`` not touching a
     word character on either side.
 
-    ``method="aho"``: one Aho-Corasick pass per text with the boundary test on the
-    characters around each occurrence; ``"literal"``: per word ``contains`` then a
-    bounded regex, JVM-side.  Same result.
+    Skills of word characters alone are intersected with the text's tokens; the others
+    are searched one by one, the bounded regex only where the skill occurs at all.
     """
-    low = F.lower(col(text))
-    if method == "literal":
-        return dictionary_hits(low, skills, bounded=True)
-    return F.sort_array(hits_udf(list(skills), bounded=True)(low)["h0"])
+    return dictionary_hits(F.lower(col(text)), skills, bounded=True)
 
 
 def _ints(arr: Column) -> Column:
     return F.filter(F.transform(arr, lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
 
 
-def date_range_pattern(months: str = D.MONTHS_PATTERN, with_bounds: bool = True) -> str:
-    seps = "|".join(D.DATE_RANGE_SEPARATORS)
-    opens = "|".join(D.DATE_RANGE_OPEN_WORDS)
-    body = rf"{months}\s*(?:'?\d{{2,4}})\s*(?:{seps})\s*(?:{months}\s*(?:'?\d{{2,4}})|{opens})"
-    return rf"(?i)\b{body}\b" if with_bounds else body
-
-
 def extract_experience_years(text="text", as_of=None) -> Column:
     """Years of experience.
 
@@ -62,10 +48,10 @@ def extract_experience_years(text="text", as_of=None) -> Column:
     t = col(text)
     # the range starts with a month name and ends with a digit or a word, so Python's
     # \b on either side is the one-sided test (cheap); see bounded_regex
-    ranges = F.regexp_extract_all(t, F.lit(bounded_regex(date_range_pattern(with_bounds=False), ignore_case=True)), 0)
+    ranges = F.regexp_extract_all(t, F.lit(bounded_regex(D.DATE_RANGE_PATTERN, ignore_case=True)), 0)
     year_re = java_regex(D.YEAR_PATTERN)
     years = F.flatten(F.transform(ranges, lambda m: _ints(F.regexp_extract_all(m, F.lit(year_re), 1))))
-    open_re = java_regex(r"(?i)" + "|".join(D.DATE_RANGE_OPEN_WORDS))
+    open_re = java_regex(r"(?i)" + D.DATE_RANGE_OPEN_PATTERN)
     has_open = F.exists(ranges, lambda m: m.rlike(open_re))
     now_year = F.year(F.from_utc_timestamp(as_of_lit(as_of), IST_ZONE)).cast("bigint")
     lo = F.array_min(years)
@@ -184,7 +170,7 @@ def build_profiles(resumes: DataFrame, as_of=None, id_col: str = "profile_id", t
     "could not extract" marker.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    df = spread(resumes, id_col).select(F.col(id_col).alias("profile_id"), t.alias("raw_text"))
+    df = resumes.select(F.col(id_col).alias("profile_id"), t.alias("raw_text"))
     df = df.select(
         "profile_id", "raw_text",
         extract_skills("raw_text", skills).alias("skills"),

@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roleweave.operators.sizing import spread
 from roleweave.plans import stand_ins as S
 from roleweave.session import prepare
 
@@ -25,6 +24,8 @@ ORACLE: dict[str, str] = {}
 # defaults stay the original ones)
 FX_ALIGN_WORDS = ("gear", "rod")
 FX_THRESHOLD = 0.35
+FX_PLACE = "nation_15"
+FX_MATCH = {"align_words": FX_ALIGN_WORDS, "preferred_place": FX_PLACE}
 
 
 def register(name: str, oracle: str | None = None):
@@ -67,10 +68,10 @@ posts0 as (
   select *, lower(coalesce(experience, '')) as s_exp from {src}),
 posts as (
   select ord, posted_ts, company, md5(regexp_replace(lower(concat(title,'|',company,'|',url)), '^\s+|\s+$', '', 'g')) as job_id,
-         lower(concat_ws(' ', title, description, company, location, '', experience)) as text_lc,
+         lower(concat_ws(' ', title, description, company, location, skill_text, experience)) as text_lc,
          lower(title) as title_lc,
          (contains(lower(title), 'gear') or contains(lower(title), 'rod')) as align,
-         contains(lower(location), 'mumbai') as place,
+         contains(lower(location), 'nation_15') as place,
          coalesce(experience, '') <> '' as has_exp,
          """ + _EXP_SQL + r"""
   from posts0),
@@ -127,8 +128,7 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T12 over the whole supplier-profile and lineitem-posting stand-ins."""
     from roleweave.operators.matching import match
 
-    m = match(S.profiles(spark, sf_dir), S.postings(spark, sf_dir), threshold=FX_THRESHOLD,
-              align_words=FX_ALIGN_WORDS)
+    m = match(S.profiles(spark, sf_dir), S.postings(spark, sf_dir), threshold=FX_THRESHOLD, **FX_MATCH)
     return m.select("profile_id", "ord", "job_id", F.round("score", 6).alias("score"), "score_pct",
                     F.array_join("reasons", " | ").alias("reasons"))
 
@@ -183,7 +183,7 @@ def _location_cols_spark(df):
 POSTING_KEYS_SQL = S.with_ctes(r"""
 p as (select *, lower(coalesce(experience, '')) as s_exp from fx_postings),
 q as (select ord, md5(regexp_replace(lower(concat(title,'|',company,'|',url)), '^\s+|\s+$', '', 'g')) as job_id,
-             concat_ws(' ', title, description, company, location, '', experience) as job_text,
+             concat_ws(' ', title, description, company, location, skill_text, experience) as job_text,
              split_part(url, '?', 1) as url_no_query, substr(title, 1, 200) as short_title,
              """ + _EXP_SQL + r""", s_exp from p)
 select ord, job_id, job_text, url_no_query, short_title, exp_min, exp_max,
@@ -243,12 +243,14 @@ def _sql_posted_ts(raw: str, as_of: str) -> str:
     unit = f"regexp_extract({s}, '(\\d+)\\s+(day|week|month|year)', 2)"
     n = f"try_cast(regexp_extract({s}, '(\\d+)\\s+(day|week|month|year)', 1) as integer)"
     mult = f"(case {unit} when 'day' then 1 when 'week' then 7 when 'month' then 30 else 365 end)"
+    since = f"date_diff('day', DATE '0001-01-01', TIMESTAMP '{as_of}'::date)"
     return (f"(case when coalesce({raw}, '') = '' then TIMESTAMP '{as_of}' - INTERVAL 86400 SECOND "
             f"when regexp_matches({si}, '{_ISO_RE}') and {iso} is not null then {iso} "
             f"when contains({s}, 'just now') or contains({s}, 'today') or contains({s}, 'hour') "
             f"or contains({s}, 'minute') then TIMESTAMP '{as_of}' "
             f"when regexp_matches({s}, '(\\d+)\\s+(day|week|month|year)') and {n} is not null "
-            f"then TIMESTAMP '{as_of}' - to_days({n} * {mult}) "
+            f"and {n}::bigint * {mult} <= {since} "
+            f"then TIMESTAMP '{as_of}' - to_days(cast(least({n}::bigint * {mult}, {since}) as integer)) "
             f"else TIMESTAMP '1970-01-01 00:00:00' end)")
 
 
@@ -280,7 +282,7 @@ def recency_gate(spark, sf_dir):
 _DIGEST_SQL_TAIL = r"""
 matched as (select * from scored where score >= {t}),
 todo as (select m.* from matched m where not exists (
-           select 1 from fx_seen s where s.notified = 1 and s.job_id = m.job_id)),
+           select 1 from fx_seen s where s.notified = 1 and s.job_id = m.job_id and s.profile_id = m.profile_id)),
 keyed as (select *, case when coalesce(company, '') = '' then 'unknown'
                          else lower(regexp_replace(company, '^\s+|\s+$', '', 'g')) end as company_key from todo),
 capped as (select * from (select *, row_number() over (partition by profile_id, company_key
@@ -308,8 +310,7 @@ from dig
 def _fx_matches(spark, sf_dir):
     from roleweave.operators.matching import match
 
-    return match(S.profiles(spark, sf_dir), S.postings(spark, sf_dir), threshold=FX_THRESHOLD,
-                 align_words=FX_ALIGN_WORDS)
+    return match(S.profiles(spark, sf_dir), S.postings(spark, sf_dir), threshold=FX_THRESHOLD, **FX_MATCH)
 
 
 def _fx_digest(spark, sf_dir):
@@ -319,8 +320,7 @@ def _fx_digest(spark, sf_dir):
     notified = S.seen(spark, sf_dir).where(F.col("notified") == 1)
     todo = state.unnotified(_fx_matches(spark, sf_dir), notified)
     picked = selection.top_recent(selection.cap_per_company(todo)).withColumn("fresh", is_fresh("posted_ts", S.AS_OF))
-    bound = S.profiles(spark, sf_dir).count() * 30
-    return selection.digest_rows(picked, S.postings(spark, sf_dir), max_rows=bound)
+    return selection.digest_rows(picked, S.postings(spark, sf_dir))
 
 
 @register("digest", DIGEST_SQL)
@@ -359,23 +359,22 @@ def digest_text(spark, sf_dir):
 # --------------------------------------------------------------------------
 SEEN_APPEND_SQL = S.with_ctes(_MATCH_SQL_BODY + f""",
 matched as (select * from scored where score >= {FX_THRESHOLD}),
-firsts as (select * from (select *, row_number() over (partition by job_id order by score desc, ord, profile_id) as r
+firsts as (select * from (select *, row_number() over (partition by profile_id, job_id order by score desc, ord) as r
                           from matched) where r = 1)
-select f.job_id, f.ord, f.profile_id, round(f.score, 6) as score, '{S.AS_OF}' as first_seen
-from firsts f where not exists (select 1 from fx_seen s where s.job_id = f.job_id)
+select f.job_id, f.profile_id, p.title, p.url, round(f.score, 6) as score, '{S.AS_OF}' as first_seen
+from firsts f join fx_postings p on p.ord = f.ord where not exists (select 1 from fx_seen s where s.job_id = f.job_id and s.profile_id = f.profile_id)
 """, "fx_postings", "fx_profiles", "fx_seen")
 
 
 @register("seen_append", SEEN_APPEND_SQL)
 def seen_append(spark, sf_dir):
-    """K1 insert-or-ignore: first match per job id (W4) that is not yet seen."""
+    """K1 insert-or-ignore: first match per profile and job id (W4) that is not yet seen."""
     from roleweave.operators import state
 
-    m = _fx_matches(spark, sf_dir)
-    firsts = state.first_per_key(m)
-    new = state.unseen(firsts, S.seen(spark, sf_dir))
-    return new.select("job_id", "ord", "profile_id", F.round("score", 6).alias("score"),
-                      F.lit(S.AS_OF).alias("first_seen"))
+    shown = S.postings(spark, sf_dir).select("ord", "title", "location", "url", "source")
+    m = _fx_matches(spark, sf_dir).join(shown, "ord")
+    new = state.new_seen_rows(m, S.seen(spark, sf_dir), S.AS_OF, "fixture")
+    return new.select("job_id", "profile_id", "title", "url", F.round("score", 6).alias("score"), _ts_text("first_seen").alias("first_seen"))
 
 
 # --------------------------------------------------------------------------
@@ -476,7 +475,7 @@ def resume_skills(spark, sf_dir):
     from roleweave.operators.profiles import extract_skills
     from roleweave.sources.tables import read_table
 
-    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents").repartition("doc_id")
     return docs.select("doc_id", F.array_join(extract_skills("text"), ",").alias("skills"))
 
 
@@ -506,20 +505,18 @@ def resume_contacts(spark, sf_dir):
     from roleweave.operators.profiles import extract_email, extract_links, extract_phone
     from roleweave.sources.tables import read_table
 
-    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents").repartition("doc_id")
     return docs.select("doc_id", extract_email("text").alias("email"), extract_phone("text").alias("phone"),
                        F.array_join(extract_links("text"), " ").alias("links"))
 
 
 def _experience_sql() -> str:
     from roleweave.functions import dictionaries as D
-    from roleweave.operators.profiles import date_range_pattern
-
     sp = "[" + _PY_SPACE + "]"
-    rng = date_range_pattern().replace(r"\s", sp).replace("'", "''")
+    rng = rf"(?i)\b(?:{D.DATE_RANGE_PATTERN})\b".replace(r"\s", sp).replace("'", "''")
     stated = [p.replace(r"\s", sp) for p in D.STATED_YEARS_PATTERNS]
     year = D.YEAR_PATTERN
-    opens = "|".join(D.DATE_RANGE_OPEN_WORDS)
+    opens = D.DATE_RANGE_OPEN_PATTERN
     as_of_year = int(S.AS_OF[:4])  # the fixture clock is mid-day-safe: same year in IST
     stated_arrays = " || ".join(
         f"list_transform(regexp_extract_all(text, '(?i){p}', 1), lambda x: try_cast(x as bigint))" for p in stated)
@@ -547,7 +544,7 @@ def resume_experience(spark, sf_dir):
     from roleweave.operators.profiles import extract_experience_years
     from roleweave.sources.tables import read_table
 
-    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents").repartition("doc_id")
     return docs.select("doc_id", extract_experience_years("text", S.AS_OF).alias("experience_years"))
 
 
@@ -822,7 +819,7 @@ def _fx_run(spark, sf_dir):
         S.profiles(spark, sf_dir), posts, seen, seen.where(F.col("notified") == 1), S.AS_OF, run_id="fixture",
         targets=FX_TARGETS, threshold=FX_THRESHOLD,
         location_opts={"region_words": FX_REGION_WORDS, "foreign_words": FX_FOREIGN_WORDS},
-        match_opts={"align_words": FX_ALIGN_WORDS})
+        match_opts=FX_MATCH)
 
 
 @register("run_digest", RUN_DIGEST_SQL)
@@ -1054,27 +1051,224 @@ def page_stop(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# S3, S4, J7, F7-F9 — cards from site markup (rows-only: HTML parsing has no SQL twin)
+# S4, J7, F7-F9 — raw cards normalised under the rules of their site
 # --------------------------------------------------------------------------
-FX_CARD_RULES = {"generic": {"card_sel": "nav li", "title_sel": "a"}}
+RAW_CARDS_SQL = S.with_ctes("""
+c as (select ord as page_id, source as site, case when experience <> '' then title end as title,
+             case when source <> 'linkedin' then company end as company,
+             case when posted_date <> 'Just now' then location end as location,
+             case when posted_date = '' then '' when source = 'career_page' then regexp_replace(url, '^https://[^/]+', '')
+                  else url end as link from fx_postings),
+n as (select page_id, site,
+             case when site = 'linkedin' then coalesce(title, 'Unknown') else substr(coalesce(title, 'Unknown'), 1, 200) end as title,
+             case when site = 'career_page' then 'Example' else coalesce(company, 'Unknown') end as company,
+             coalesce(location, case site when 'naukri' then '' when 'linkedin' then 'Remote' else 'India' end) as location,
+             case when link <> '' and not starts_with(link, 'http') and (site <> 'naukri' or starts_with(link, '/'))
+                  then concat(case site when 'naukri' then 'https://n.example.com' when 'linkedin' then 'https://l.example.com'
+                              else 'https://c.example.com' end, link) else link end as url,
+             title is null as untitled
+      from c)
+select page_id, title, company, location, url,
+       case site when 'naukri' then 'Naukri' when 'linkedin' then 'LinkedIn' else 'Career page' end as source
+from n
+where case site
+  when 'naukri' then title <> 'Unknown' and url <> '' and (contains(lower(location), 'asia') or contains(lower(location), 'africa')
+                     or contains(lower(location), 'india'))
+  when 'linkedin' then contains(lower(location), 'nation_3') or contains(lower(title), 'india') or contains(lower(url), 'nation-4')
+  else title <> 'Unknown' and url <> '' and not untitled and contains(lower(location), 'nation_1') end
+""", "fx_postings")
 
 
-def fx_card_rules(spark):
-    from roleweave.sources.cards import RULES_SCHEMA
+@register("raw_cards", RAW_CARDS_SQL)
+def raw_cards(spark, sf_dir):
+    """S4 raw cards to postings under the site rules table (J7 join; F7 validity, F8 region,
+    F9 searched place)."""
+    from roleweave.sources.cards import RULES_SCHEMA, cards_to_postings
 
-    return spark.createDataFrame(
-        [("generic", "career_page", "https://jobs.example.com", False, "Example", "India", True, True, False, [],
-          False, False, [], "")], RULES_SCHEMA)
+    rules = spark.createDataFrame(S.CARD_RULES, RULES_SCHEMA)
+    return cards_to_postings(S.raw_cards(spark, sf_dir), rules).select("page_id", "title", "company", "location", "url", "source")
 
 
-@register("page_cards")
-def page_cards(spark, sf_dir):
-    """S3 card harvest (html.parser per page in mapInPandas) + S4 normalisation under the
-    site rules table (J7 broadcast join; F7 validity, F8 region, F9 searched place), every page."""
-    from roleweave.sources.cards import cards_to_postings, harvest_cards
-    from roleweave.sources.tables import read_table
+# --------------------------------------------------------------------------
+# O1, O5 — matches ordered by score, previews
+# --------------------------------------------------------------------------
+SCORE_RANK_SQL = S.with_ctes(_MATCH_SQL_BODY + f"""
+select profile_id, ord, round(score, 6) as score,
+       row_number() over (partition by profile_id order by score desc, ord) as score_rank
+from scored where score >= {FX_THRESHOLD}
+""", "fx_postings", "fx_profiles")
+
+
+@register("score_rank", SCORE_RANK_SQL)
+def score_rank(spark, sf_dir):
+    """O1: every match with its place among its profile's by score, then arrival order."""
+    from roleweave.operators.matching import rank_by_score
+
+    return rank_by_score(_fx_matches(spark, sf_dir)).select("profile_id", "ord", F.round("score", 6).alias("score"), "score_rank")
+
+
+SCORE_PREVIEW_SQL = f"select * from ({SCORE_RANK_SQL}) where score_rank <= 5"
+
+
+@register("score_preview", SCORE_PREVIEW_SQL)
+def score_preview(spark, sf_dir):
+    """The five best matches of each profile."""
+    from roleweave.operators.selection import preview
+
+    return preview(_fx_matches(spark, sf_dir), 5).select("profile_id", "ord", F.round("score", 6).alias("score"), "score_rank")
+
+
+# --------------------------------------------------------------------------
+# A9 — all stages of a run
+# --------------------------------------------------------------------------
+RUN_STAGES_SQL = S.with_ctes(_RUN_BODY + f"""
+select (select count(*) from fx_postings) as found,
+       (select count(*) from (select {_sql_location_cols()} from fx_postings) where keep_location) as after_location,
+       (select count(*) from gated) as after_date, (select count(*) from matched) as matched,
+       (select count(*) from todo) as unnotified, (select count(*) from capped) as capped,
+       (select count(*) from ranked) as sent
+""", "fx_postings", "fx_profiles", "fx_seen")
+
+
+@register("run_stages", RUN_STAGES_SQL)
+def run_stages(spark, sf_dir):
+    """Rows after each of a run's seven stages."""
+    from roleweave.operators import selection, state
+
+    run = _fx_run(spark, sf_dir)
+    seen = S.seen(spark, sf_dir)
+    todo = state.unnotified(run.matches, seen.where(F.col("notified") == 1))
+    n = lambda df, name: df.agg(F.count("*")).scalar().alias(name)
+    located = _location_cols_spark(S.postings(spark, sf_dir))
+    return located.agg(F.count("*").alias("found"), F.count_if("keep_location").alias("after_location")).select(
+        "found", "after_location", n(run.gated, "after_date"), n(run.matches, "matched"), n(todo, "unnotified"),
+        n(selection.cap_per_company(todo), "capped"), n(run.digest, "sent"))
+
+
+# --------------------------------------------------------------------------
+# K1-K3, T13 — state written by two runs, the first of which is repeated
+# --------------------------------------------------------------------------
+RUN_STATE_SQL = S.with_ctes(_GATED_SQL + "," + _MATCH_SQL_TEMPLATE.replace("{src}", "gated") + f""",
+m as (select *, case when coalesce(company, '') = '' then 'unknown'
+                     else lower(regexp_replace(company, '^\\s+|\\s+$', '', 'g')) end as company_key
+      from scored where score >= {FX_THRESHOLD}),
+c1 as (select * from (select *, row_number() over (partition by profile_id, company_key order by posted_ts desc, score desc, ord) as cr
+                      from m) where cr <= 2),
+r1 as (select * from (select *, row_number() over (partition by profile_id order by posted_ts desc, score desc, ord) as rk from c1)
+       where rk <= 30),
+todo2 as (select * from m where not exists (select 1 from r1 where r1.profile_id = m.profile_id and r1.job_id = m.job_id)),
+c2 as (select * from (select *, row_number() over (partition by profile_id, company_key order by posted_ts desc, score desc, ord) as cr
+                      from todo2) where cr <= 2),
+r2 as (select * from (select *, row_number() over (partition by profile_id order by posted_ts desc, score desc, ord) as rk from c2)
+       where rk <= 30)
+select 'notified' as tbl, 'r1' as run_id, profile_id, job_id from r1
+union all select 'notified', 'r2', profile_id, job_id from r2
+union all select distinct 'seen', 'r1', profile_id, job_id from m
+union all select 'runs', r, profile_id, null from fx_profiles, (select unnest(['r1', 'r2']) as r)
+""", "fx_postings", "fx_profiles")
+
 
-    pages = read_table(spark, sf_dir, "pages").withColumn("site", F.lit("generic"))
-    raw = harvest_cards(pages, FX_CARD_RULES)
-    return cards_to_postings(raw, fx_card_rules(spark)).select(
-        "page_id", "card_no", "title", "company", "location", "url", "source")
+@register("run_state", RUN_STATE_SQL)
+def run_state(spark, sf_dir):
+    """K1-K3: the rows that two runs write, after the second one and a repeat of it (writes
+    under the checkpoint folder while the query is built)."""
+    from roleweave.functions.dates import with_posted_ts
+    from roleweave.plans.run import execute_run
+    from roleweave.streaming.incremental import _scratch
+
+    root = _scratch(spark, "run-state")
+    posts = with_posted_ts(S.postings(spark, sf_dir), "posted_date", S.AS_OF)
+    for run_id in ("r1", "r2", "r2"):
+        execute_run(spark, S.profiles(spark, sf_dir), posts, root, S.AS_OF, run_id, targets=FX_TARGETS,
+                    threshold=FX_THRESHOLD, match_opts=FX_MATCH,
+                    location_opts={"region_words": FX_REGION_WORDS, "foreign_words": FX_FOREIGN_WORDS})
+    rows = None
+    for name, job in (("notified", F.col("job_id")), ("seen", F.col("job_id")), ("runs", F.lit(None).cast("string"))):
+        part = spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("tbl"), "run_id", "profile_id", job.alias("job_id"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+# --------------------------------------------------------------------------
+# U1, E1, U2 — sources united, repeats of a posting kept once
+# --------------------------------------------------------------------------
+UNION_SQL = S.with_ctes("""
+select ord, title, company, location, url, source,
+       case when source = 'career_page' then null else experience end as experience
+from fx_postings where source <> 'naukri'
+""", "fx_postings")
+
+
+@register("union_sources", UNION_SQL)
+def union_of_sources(spark, sf_dir):
+    """Postings of two registered sources united by name; a column that one lacks is null."""
+    from roleweave.sources.registry import SOURCES, register_source, union_sources
+
+    def stand_in(name, *dropped):
+        @register_source(f"stand_in_{name}")
+        def read(spark, path, **_):
+            return S.postings(spark, path).where(F.col("source") == name).drop(*dropped)
+
+    stand_in("linkedin")
+    stand_in("career_page", "experience")
+    frames = [SOURCES[f"stand_in_{name}"](spark, sf_dir) for name in ("linkedin", "career_page")]
+    return union_sources(frames).select("ord", "title", "company", "location", "url", "source", "experience")
+
+
+DEDUPE_SQL = S.with_ctes(_GATED_SQL + "," + _MATCH_SQL_TEMPLATE.replace("{src}", "gated") + f""",
+r as (select *, row_number() over (partition by profile_id, job_id order by score desc, ord) as n
+      from scored where score >= {FX_THRESHOLD})
+select profile_id, job_id, ord, round(score, 6) as score from r where n = 1
+""", "fx_postings", "fx_profiles")
+
+
+@register("run_dedupe", DEDUPE_SQL)
+def run_dedupe(spark, sf_dir):
+    """A run's matches with repeats of a posting kept once for each profile."""
+    from roleweave.functions.dates import with_posted_ts
+    from roleweave.plans.run import score_run
+
+    posts = with_posted_ts(S.postings(spark, sf_dir), "posted_date", S.AS_OF)
+    _, matches = score_run(S.profiles(spark, sf_dir), posts, S.AS_OF, FX_TARGETS, FX_THRESHOLD,
+                           {"region_words": FX_REGION_WORDS, "foreign_words": FX_FOREIGN_WORDS}, None, FX_MATCH, dedupe=True)
+    return matches.select("profile_id", "job_id", "ord", F.round("score", 6).alias("score"))
+
+
+# --------------------------------------------------------------------------
+# T4 — a run's matching with the term cosine over all terms
+# --------------------------------------------------------------------------
+MATCH_TFIDF_SQL = S.with_ctes(_GATED_SQL + "," + _MATCH_SQL_TEMPLATE.replace("{src}", "gated") + f""",
+jd as (select ord, text_lc as text from kept),
+pd as (select profile_id, summary as text from fx_profiles),
+jt as {_sql_terms('jd', 'ord')},
+pt as {_sql_terms('pd', 'profile_id')},
+nn as (select count(*) + 1 as n from kept),
+stats as (select term, count(*) as df from jt group by term),
+pw as (select p.id as profile_id, p.term, p.tf * (ln(nn.n / (2.0 + coalesce(s.df, 0))) + 1.0) as w,
+              ln(nn.n / (2.0 + coalesce(s.df, 0))) + 1.0 as idf
+       from pt p left join stats s on s.term = p.term, nn),
+pn as (select profile_id, sqrt(sum(w * w)) as pnorm from pw group by profile_id),
+jw as (select j.id as ord, j.term, j.tf, ln(nn.n / (1.0 + s.df)) + 1.0 as idf0 from jt j join stats s on s.term = j.term, nn),
+jn as (select p.profile_id, j.ord, sqrt(sum(pow(j.tf * coalesce(w.idf, j.idf0), 2))) as jnorm
+       from fx_profiles p cross join jw j left join pw w on w.profile_id = p.profile_id and w.term = j.term group by all),
+dot as (select w.profile_id, j.ord, sum(j.tf * w.idf * w.w) as dot from jw j join pw w on w.term = j.term group by all),
+cosine as (select d.profile_id, d.ord, d.dot / (jn.jnorm * pn.pnorm) as cos
+           from dot d join jn using (profile_id, ord) join pn using (profile_id) where d.dot > 0),
+final as (select c.*, greatest(0.0::double, least(coalesce(x.cos, 0.0) + sb + tb + al + pl + ex, 1.0::double)) as total
+          from comp c left join cosine x on x.profile_id = c.profile_id and x.ord = c.ord)
+select profile_id, ord, round(total, 6) as score, exr as exp_reason from final where total >= {FX_THRESHOLD}
+""", "fx_postings", "fx_profiles")
+
+
+@register("match_tfidf", MATCH_TFIDF_SQL)
+def match_tfidf(spark, sf_dir):
+    """T4: the gated postings scored with the TF-IDF cosine (all terms) beside the rules."""
+    from roleweave.functions.dates import with_posted_ts
+    from roleweave.plans.run import score_run
+
+    posts = with_posted_ts(S.postings(spark, sf_dir), "posted_date", S.AS_OF)
+    _, m = score_run(S.profiles(spark, sf_dir), posts, S.AS_OF, FX_TARGETS, FX_THRESHOLD,
+                     {"region_words": FX_REGION_WORDS, "foreign_words": FX_FOREIGN_WORDS}, None,
+                     {**FX_MATCH, "similarity": "tfidf", "tfidf_options": {"stop_words": FX_STOP_WORDS}})
+    reason = F.get(F.filter("reasons", lambda r: r.startswith("Exp ")), 0)
+    return m.select("profile_id", "ord", F.round("score", 6).alias("score"), reason.alias("exp_reason"))

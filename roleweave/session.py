@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -70,11 +71,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (tests, a laptop) do we pick one, under
-    the system temp folder, and register it with the SparkContext.
+    A local session may leave it unset (tests, a laptop); then a folder under the
+    system's temp folder is picked.  On a cluster that folder would be one machine's
+    own, so an unset value is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[(\*|\d+)(, ?\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         d = tempfile.mkdtemp(prefix="roleweave-ckpt-")

@@ -1,253 +1,20 @@
-"""Job cards from site markup.
+"""Raw job cards to postings.
 
-S3 (per page, Python): the page is parsed with the standard library's
-``html.parser`` into a light element tree and the site's card selector picks
-the cards; for each card the title / company / location / ... selectors give
-the first matching element in document order and its text (text nodes
-stripped and joined).  Only the selector forms the site rules use are
-understood: ``tag``, ``.class``, ``tag.class``, ``[attr]``, ``[attr*='v']``,
-descendant, ``>``, ``+``, ``:first-child`` and comma lists.  It runs in
-``mapInPandas`` over Arrow batches of the page table; a card that fails to
-parse is skipped, the rest kept.
-
-S4 (native): defaults ("Unknown" title/company, "" elsewhere), link prefixing,
-title cut, the validity rule (F7), the site region rule (F8) and the searched
-location rule (F9) — a broadcast join of the cards to the (small) rules table
-(J7) and column expressions.
+A raw card is a row of what a site's card shows: title, company, location, link and so
+on, null where the card lacks the element.  The site's rules are a table that is joined
+by site: defaults ("Unknown" title and company, "" elsewhere), link prefixing, title
+cut, the validity rule (F7), the site region rule (F8) and the searched-place rule (F9).
+How the cards are cut out of a site's markup is left to the pages' source.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from roleweave.functions import dictionaries as D
 from roleweave.functions.text import text_or_empty, truncate
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-@dataclass
-class Node:
-    tag: str
-    attrs: dict
-    parent: "Node | None" = None
-    children: list = field(default_factory=list)  # Node or str
-
-    @property
-    def classes(self) -> set:
-        return set((self.attrs.get("class") or "").split())
-
-    def elements(self):
-        return [c for c in self.children if isinstance(c, Node)]
-
-    def iter(self):
-        """Descendants in document order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.iter()
-
-    def text(self) -> str:
-        """Text nodes stripped and joined with no separator."""
-        out = []
-        for c in self.children:
-            if isinstance(c, Node):
-                if c.tag not in ("script", "style"):
-                    out.append(c.text())
-            else:
-                s = c.strip()
-                if s:
-                    out.append(s)
-        return "".join(out)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root", {})
-        self.cur = self.root
-
-    def handle_starttag(self, tag, attrs):
-        n = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(n)
-        if tag not in VOID:
-            self.cur = n
-
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur))
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:\.[\w-]+|\[[^\]]+\]|:first-child)*)")
-
-
-def _compile_simple(tok: str):
-    m = _SIMPLE.fullmatch(tok)
-    if not m:
-        raise ValueError(f"unsupported selector: {tok!r}")
-    tag, rest = m.group(1), m.group(2)
-    classes = re.findall(r"\.([\w-]+)", rest)
-    attrs = []
-    for a in re.findall(r"\[([^\]]+)\]", rest):
-        mm = re.fullmatch(r"\s*([\w-]+)\s*(?:(\*?=)\s*['\"]?([^'\"]*)['\"]?)?\s*", a)
-        attrs.append((mm.group(1), mm.group(2), mm.group(3)))
-    first = ":first-child" in rest
-    return tag, classes, attrs, first
-
-
-def _simple_match(n: Node, simple) -> bool:
-    tag, classes, attrs, first = simple
-    if tag and n.tag != tag.lower():
-        return False
-    if classes and not set(classes) <= n.classes:
-        return False
-    for name, op, val in attrs:
-        if name not in n.attrs:
-            return False
-        if op == "*=" and val not in n.attrs[name]:
-            return False
-        if op == "=" and n.attrs[name] != val:
-            return False
-    if first and (n.parent is None or n.parent.elements()[:1] != [n]):
-        return False
-    return True
-
-
-def compile_selector(sel: str):
-    """A comma list of compound selectors -> list of [(combinator, simple), ...]."""
-    out = []
-    for part in sel.split(","):
-        toks = re.findall(r"[>+]|[^\s>+]+", part.strip())
-        chain, comb = [], " "
-        for t in toks:
-            if t in (">", "+"):
-                comb = t
-                continue
-            chain.append((comb, _compile_simple(t)))
-            comb = " "
-        out.append(chain)
-    return out
-
-
-def _chain_match(n: Node, chain) -> bool:
-    comb, simple = chain[-1]
-    if not _simple_match(n, simple):
-        return False
-    if len(chain) == 1:
-        return True
-    rest = chain[:-1]
-    if comb == ">":
-        return n.parent is not None and _chain_match(n.parent, rest)
-    if comb == "+":
-        sib = n.parent.elements() if n.parent else []
-        i = sib.index(n)
-        return i > 0 and _chain_match(sib[i - 1], rest)
-    p = n.parent
-    while p is not None:
-        if _chain_match(p, rest):
-            return True
-        p = p.parent
-    return False
-
-
-def select(root: Node, compiled) -> list:
-    return [n for n in root.iter() if any(_chain_match(n, ch) for ch in compiled)]
-
-
-def select_one(root: Node, compiled):
-    for n in root.iter():
-        if any(_chain_match(n, ch) for ch in compiled):
-            return n
-    return None
-
-
-RAW_CARD = StructType([
-    StructField("page_id", LongType()), StructField("site", StringType()), StructField("card_no", IntegerType()),
-    StructField("title", StringType()), StructField("company", StringType()), StructField("location", StringType()),
-    StructField("experience", StringType()), StructField("description", StringType()),
-    StructField("link", StringType()), StructField("posted", StringType()),
-    StructField("skills", ArrayType(StringType())),
-])
-
-
-def harvest_cards(pages: DataFrame, rules: dict[str, dict]) -> DataFrame:
-    """S3: raw card fields for every page whose ``site`` has a rule (None = element absent)."""
-    compiled = {
-        site: {k: compile_selector(v) for k, v in r.items() if k.endswith("_sel") and v}
-        for site, r in rules.items()
-    }
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, site, html in zip(pdf["page_id"], pdf["site"], pdf["html"]):
-                sel = compiled.get(site)
-                if sel is None or not html:
-                    continue
-                root = parse(html)
-                for i, card in enumerate(select(root, sel["card_sel"])):
-                    try:
-                        rows.append(_card_fields(int(pid), site, i, card, sel))
-                    except Exception:  # one broken card does not drop the page
-                        continue
-            yield pd.DataFrame(rows, columns=[f.name for f in RAW_CARD.fields])
-
-    return pages.select("page_id", "site", "html").mapInPandas(run, RAW_CARD)
-
-
-def _text_of(card, sel, key):
-    el = select_one(card, sel[key]) if key in sel else None
-    return None if el is None else el.text()
-
-
-def _card_fields(pid, site, i, card, sel):
-    title_el = select_one(card, sel["title_sel"]) if "title_sel" in sel else None
-    if "link_sel" in sel:
-        link_el = select_one(card, sel["link_sel"])
-        link = link_el.attrs.get("href", "") if link_el is not None else None
-    elif title_el is not None and title_el.tag == "a":
-        link = title_el.attrs.get("href", "")
-    else:
-        p = title_el.parent if title_el is not None else None
-        while p is not None and p.tag != "a":
-            p = p.parent
-        if p is None:
-            p = select_one(card, compile_selector("a[href]"))
-        link = p.attrs.get("href", "") if p is not None else None
-    posted = None
-    if "date_sel" in sel:
-        d = select_one(card, sel["date_sel"])
-        if d is not None:
-            posted = d.attrs.get("datetime") or d.text()
-    skills = [s.text() for s in select(card, sel["skills_sel"])] if "skills_sel" in sel else []
-    return (pid, site, i, None if title_el is None else title_el.text(), _text_of(card, sel, "company_sel"),
-            _text_of(card, sel, "location_sel"), _text_of(card, sel, "experience_sel"),
-            _text_of(card, sel, "description_sel"), link, posted, [s for s in skills if s])
-
-
 RULES_SCHEMA = ("site string, source string, base_url string, prefix_rooted_only boolean, company string, "
                 "default_location string, cut_title boolean, require_valid boolean, require_title boolean, "
                 "region_words array<string>, "
@@ -293,7 +60,7 @@ def _normalize(c: DataFrame) -> DataFrame:
 
 
 def cards_to_postings(raw: DataFrame, rules: DataFrame) -> DataFrame:
-    """Raw cards (S3) + the rules table -> postings."""
+    """S4 + J7: raw cards and the rules table -> postings; a card of a site without rules is dropped."""
     r = rules.withColumnRenamed("company", "rule_company")
-    c = raw.withColumnRenamed("company", "card_company").join(F.broadcast(r), "site")
+    c = raw.withColumnRenamed("company", "card_company").join(r, "site")
     return _normalize(c)

@@ -1,54 +1,40 @@
-"""Card extraction (S3/S4, F7-F9) on small inline pages shaped like the site rules."""
+"""Raw cards to postings (S4, J7, F7-F9), embedded JSON (S7) and the union of sources."""
 
-from roleweave.sources.cards import RULES_SCHEMA, cards_to_postings, compile_selector, harvest_cards, parse, select
+from roleweave.sources.cards import RULES_SCHEMA, cards_to_postings
 
-LINKEDIN_LIKE = """<html><body><ul>
-<li><div class="base-card job-search-card"><h3 class="base-search-card__title"> Java  Developer </h3>
- <h4 class="base-search-card__subtitle"><a href="/c/acme">Acme</a></h4>
- <span class="job-search-card__location">Pune, India</span><time datetime="2023-10-25">2 days ago</time>
- <a class="base-card__full-link" href="https://in.example.com/jobs/view/1?trk=x">x</a></div></li>
-<li><div class="base-card"><h3 class="base-search-card__title">No Link</h3></div></li>
-<li><div class="base-card"><h3 class="base-search-card__title">Remote role</h3>
- <span class="job-search-card__location">London, UK</span>
- <a class="base-card__full-link" href="/jobs/view/3">y</a></div></li>
-</ul></body></html>"""
-
-RULES = {"li_like": {"card_sel": "div.base-card, li.result-card", "title_sel": "h3.base-search-card__title",
-                     "company_sel": "h4.base-search-card__subtitle a", "location_sel": "span.job-search-card__location",
-                     "date_sel": "time[datetime]", "link_sel": "a.base-card__full-link, a[href*='/jobs/']"},
-         "it_like": {"card_sel": ".job-card", "title_sel": "h3 a, a.job-title", "location_sel": ".location"}}
-
-IT_LIKE = """<div class="job-card"><h3><a href="/job/9">Cloud Engineer</a></h3><p class="location">Bengaluru</p></div>
-<div class="job-card"><h3><a href="/job/10">Cloud Engineer</a></h3><p class="location">Dubai</p></div>
-<div class="job-card"><h4>no title link</h4></div>"""
-
-
-def test_selectors():
-    root = parse("<div class='a b'><p><span id='x'>1</span></p><span>2</span><i>3</i></div>")
-    assert [n.text() for n in select(root, compile_selector("div.a span"))] == ["1", "2"]
-    assert [n.text() for n in select(root, compile_selector("div > span"))] == ["2"]
-    assert [n.text() for n in select(root, compile_selector("span + i"))] == ["3"]
-    assert [n.text() for n in select(root, compile_selector("span[id], i"))] == ["1", "3"]
-    assert [n.tag for n in select(root, compile_selector("div :first-child"))] == ["p", "span"]
+CARD_SCHEMA = ("page_id long, site string, card_no int, title string, company string, location string, experience string, "
+               "description string, link string, posted string, skills array<string>")
 
 
 def test_cards_to_postings(spark):
-    pages = spark.createDataFrame([(1, "li_like", LINKEDIN_LIKE), (2, "it_like", IT_LIKE)],
-                                  "page_id long, site string, html string")
+    cards = spark.createDataFrame([
+        (1, "li", 0, "Java  Developer", "Acme", "Pune, India", None, None, "https://in.example.com/jobs/view/1?trk=x", "2023-10-25", None),
+        (1, "li", 1, "No Link", None, None, None, None, None, None, None),
+        (1, "li", 2, "Remote role", None, "London, UK", None, None, "/jobs/view/3", None, None),
+        (2, "it", 0, "Cloud Engineer", "own", "Bengaluru", None, None, "/job/9", None, None),
+        (2, "it", 1, "Cloud Engineer", None, "Dubai", None, None, "/job/10", None, None),
+        (2, "it", 2, None, None, "Bengaluru", None, None, "/job/11", None, None),
+        (2, "it", 3, "In India", None, None, None, None, "job/12", None, None),
+        (3, "sl", 0, "x", None, "Chennai Area", None, None, "u", None, None),
+        (3, "sl", 1, "x", None, "Multiple Locations", None, None, "u", None, None),
+        (3, "sl", 2, "x", None, "Delhi", None, None, "u", None, None),
+        (4, "unknown site", 0, "x", None, "Delhi", None, None, "u", None, None),
+    ], CARD_SCHEMA)
     rules = spark.createDataFrame([
-        ("li_like", "linkedin", "https://www.linkedin.com", False, None, "", False, True, False, [], False, False, [], ""),
-        ("it_like", "IT_Giants", "https://careers.example.com", False, "ExampleTech", "India", True, False, True,
+        ("li", "linkedin", "https://www.linkedin.com", False, None, "", False, True, False, [], False, False, [], ""),
+        ("it", "IT_Giants", "https://careers.example.com", True, "ExampleTech", "India", True, False, True,
          ["india", "bengaluru"], True, False, [], ""),
+        ("sl", "sl", "", False, None, None, False, False, False, [], False, False, [], "Chennai"),
     ], RULES_SCHEMA)
-    out = {(r["page_id"], r["card_no"]): r for r in cards_to_postings(harvest_cards(pages, RULES), rules).collect()}
+    out = {(r["page_id"], r["card_no"]): r for r in cards_to_postings(cards, rules).collect()}
     a = out[(1, 0)]
     assert (a["title"], a["company"], a["location"], a["url"], a["posted_date"]) == (
         "Java  Developer", "Acme", "Pune, India", "https://in.example.com/jobs/view/1?trk=x", "2023-10-25")
-    assert (1, 1) not in out                      # F7: no link -> dropped
-    assert out[(1, 2)]["url"] == "https://www.linkedin.com/jobs/view/3"
+    assert out[(1, 2)]["url"] == "https://www.linkedin.com/jobs/view/3" and out[(1, 2)]["company"] == "Unknown"
     assert out[(2, 0)]["company"] == "ExampleTech" and out[(2, 0)]["url"] == "https://careers.example.com/job/9"
-    assert (2, 1) not in out                      # F8: Dubai is not in the region
-    assert (2, 2) not in out                      # no title element -> skipped
+    assert out[(2, 3)]["location"] == "India" and out[(2, 3)]["url"] == "job/12"  # only rooted links get the prefix
+    # dropped: no link (F7), out of the region (F8), no title element, not the searched place (F9), no rules
+    assert out.keys() == {(1, 0), (1, 2), (2, 0), (2, 3), (3, 0), (3, 1)}
 
 
 def test_embedded_json(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from roleweave.functions.dates import posted_ts
@@ -102,3 +103,12 @@ def test_with_posted_ts_equals_column_form(spark):
     a = [r[0] for r in df.select(posted_ts("d", AS_OF)).collect()]
     b = [r["posted_ts"] for r in with_posted_ts(df, "d", AS_OF).collect()]
     assert a == b
+
+
+@pytest.mark.parametrize("text,want", [
+    ("9999999 years ago", "1970-01-01 00:00:00"), ("999999 years ago", "1970-01-01 00:00:00"), ("3000 years ago", "1970-01-01 00:00:00"),
+    ("99999999999 days ago", "1970-01-01 00:00:00"), ("2147483647 days ago", "1970-01-01 00:00:00"), ("2 days ago", "2001-11-02 00:00:00"),
+])
+def test_ages_before_the_year_1_fall_to_epoch(spark, text, want):
+    df = spark.createDataFrame([(text,)], "d string").select(posted_ts("d", "2001-11-04 00:00:00").cast("string").alias("t"))
+    assert df.first()["t"] == want
