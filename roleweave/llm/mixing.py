@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roleweave.llm import subwords
@@ -37,8 +37,7 @@ def domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def train(documents: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = subwords.TEXTS_PER_CLASS) -> subwords.SubwordModel:
     """The domain classifier, from at most ``per_class`` distinct texts of each domain."""
-    rows = documents.select(documents[id_col].alias("row_id"), documents[text_col].alias("text"))
-    return subwords.train(rows.join(marks, rows["row_id"] == marks["mark_id"]), "domain", "text", per_class)
+    return subwords.train(documents, marks.select("mark_id", marks["domain"].alias("label")), id_col, text_col, per_class)
 
 
 def _rates(shares: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -112,9 +111,9 @@ def _with_rates(steps: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) ->
 
 def mix(
     documents: DataFrame, model: subwords.SubwordModel, targets: dict, anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    iterations: int = ITERATIONS,
+    iterations: int = ITERATIONS, carry: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """Per row: ``doc_id``, ``text_hash``, ``n_words``, ``domain``, ``shares``, ``rate``, ``copies``.
+    """Per row: ``doc_id``, ``text_hash``, the ``carry`` columns, ``n_words``, ``domain``, ``shares``, ``rate``, ``copies``.
 
     ``domain`` is the likeliest one (ties: the first by name), ``rate`` the fitted rate,
     ``copies`` how often the row goes into the mixture: the rate's whole part, and one
@@ -125,14 +124,19 @@ def mix(
     """
     k = len(model.classes)
     text = documents[text_col].cast("string")
-    soft = subwords.posteriors(documents, model, (documents[id_col].alias("doc_id"), F.xxhash64(text).alias("text_hash")), text_col)
+    own = (documents[id_col].alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    soft = subwords.posteriors(documents, model, own, text_col)
+    full = subwords.posteriors(documents, model, (*own, *carry), text_col) if carry else soft
+    carried = full.columns[2:-2]
     if k < 2:
-        return soft.select("doc_id", "text_hash", "n_words", F.lit(model.classes[0] if k else None).cast("string").alias("domain"), "shares", F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return full.select("doc_id", "text_hash", *carried, "n_words", F.lit(model.classes[0] if k else None).cast("string").alias("domain"), "shares", F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     soft = saved(soft)
     steps = fit_rates(soft, model.classes, targets, anchor, iterations)
-    kind = soft.schema["doc_id"].dataType.simpleString()
-    rated = soft.mapInArrow(lambda b: _with_rates(steps, k, b), f"doc_id {kind}, text_hash bigint, n_words bigint, shares array<double>, rate double")
+    # carried columns are too wide to keep or to join: their rows are scored once more in passing
+    rated = full if carry else soft
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.schema.fields)
+    rated = rated.mapInArrow(lambda b: _with_rates(steps, k, b), f"{schema}, rate double")
     names = F.array(*[F.lit(c) for c in model.classes])
     best = F.element_at(names, F.array_position("shares", F.array_max("shares")).cast("int"))
     draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rated.select("doc_id", "text_hash", "n_words", best.alias("domain"), "shares", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+    return rated.select("doc_id", "text_hash", *carried, "n_words", best.alias("domain"), "shares", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))

@@ -199,19 +199,24 @@ def fit(texts: list[str], labels: list, priors: dict | None = None) -> SubwordMo
     return SubwordModel(classes, weights, bias)
 
 
-def train(labelled: DataFrame, label_col: str, text_col: str = "text", per_class: int = TEXTS_PER_CLASS, use_priors: bool = True) -> SubwordModel:
+def train(
+    documents: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = TEXTS_PER_CLASS, use_priors: bool = True
+) -> SubwordModel:
     """Fits on at most ``per_class`` distinct texts of each label, chosen by a hash of the text.
 
-    Rows with a null text or label teach nothing.  The sample is what the driver holds;
-    its bound is ``per_class`` texts a class, whole texts.
+    ``marks`` holds ``mark_id`` and ``label``; documents without a mark, and null texts or
+    labels, teach nothing.  Ids and hashes are joined and ranked first; only the sample's
+    texts are read after that, by a broadcast of its ids, which ``per_class`` bounds.  The
+    sample is what the driver holds, whole texts.
     """
-    rows = labelled.select(labelled[label_col].alias("label"), labelled[text_col].cast("string").alias("text")).where(
-        "label is not null and text is not null"
-    ).withColumn("hashed", F.xxhash64("text"))
-    limits = lowest_hashes(rows, "label", "hashed", per_class)
-    sample = rows.where(within_limits(F.col("label"), F.col("hashed"), limits)).groupBy("label", "hashed").agg(F.first("text").alias("text"))
+    rows = documents.select(documents[id_col].alias("row_id"), documents[text_col].cast("string").alias("text")).where("text is not null")
+    rows = rows.withColumn("hashed", F.xxhash64("text"))
+    marked = rows.select("row_id", "hashed").join(marks.where("label is not null"), F.col("row_id") == F.col("mark_id")).select("row_id", "hashed", "label")
+    limits = lowest_hashes(marked, "label", "hashed", per_class)
+    chosen = marked.where(within_limits(F.col("label"), F.col("hashed"), limits)).groupBy("label", "hashed").agg(F.min("row_id").alias("row_id"))
+    sample = rows.join(F.broadcast(chosen), ["row_id", "hashed"]).groupBy("label", "hashed").agg(F.first("text").alias("text"))
     got = sample.orderBy("label", "hashed").toArrow()
-    share = {r[0]: r[1] for r in rows.groupBy("label").count().collect()} if use_priors else {}
+    share = {r[0]: r[1] for r in marked.groupBy("label").count().collect()} if use_priors else {}
     total = sum(share.values())
     return fit(got["text"].to_pylist(), got["label"].to_pylist(), {c: n / total for c, n in share.items()} if total else None)
 

@@ -17,8 +17,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     An id with several labels teaches each of them once.
     """
     marks = labels.select(labels[id_col].alias("mark_id"), labels[label_col].cast("int").alias("label")).where("label in (0, 1)").distinct()
-    rows = documents.select(documents[id_col].alias("row_id"), documents[text_col].alias("text"))
-    return subwords.train(rows.join(marks, rows["row_id"] == marks["mark_id"]), "label", "text", per_class)
+    return subwords.train(documents, marks, id_col, text_col, per_class)
 
 
 def score(documents: DataFrame, model: subwords.SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
