@@ -66,13 +66,17 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     ready(spark)
     columns = _columns(docs)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), *[F.col(c).alias(c) for c in columns])
+    # rows without a candidate go straight on; only the few others take part in the join
+    holds = F.coalesce(secrets.holds_candidate(docs["text"]), F.lit(False))
+    clean = docs.select(*columns).where(~holds)
+    keyed = docs.select(*columns).where(holds).withColumn("row_key", F.xxhash64("doc_id", "text"))
     found = secrets.find_secrets(keyed, id_col="row_key").where(F.size("live") > 0).select(F.col("doc_id").alias("row_key"), "live").dropDuplicates(["row_key"])
     joined = keyed.join(found, "row_key", "left")
-    masked = mask("text", "live")
-    return joined.select(*[F.when(F.col("live").isNull(), F.col(c)).otherwise(masked).alias(c) if c == "text" else F.col(c) for c in columns]).transform(
-        lambda df: df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else df
-    )
+    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(mask("text", "live"))
+    masked = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns])
+    if "n_chars" in columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.union(masked)
 
 
 def mask(text: str, spans: str):
@@ -94,11 +98,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     columns = _columns(docs)
     model = mixing.train(docs, mixing.domains(table(spark, sf_dir, "labels")))
-    mixed = mixing.mix(docs, model, mixing.TARGETS, mixing.ANCHOR).select("doc_id", "text_hash", "copies").distinct()
-    keyed = docs.select(*columns, F.xxhash64("text").alias("text_hash"))
-    same = keyed["doc_id"].eqNullSafe(mixed["doc_id"]) & (keyed["text_hash"] == mixed["text_hash"])
-    drawn = keyed.join(mixed, same).where("copies > 0")
-    return drawn.select(*[keyed[c] for c in columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*columns)
+    carried = tuple(docs[c].alias(f"kept_{c}") for c in columns)
+    mixed = mixing.mix(docs, model, mixing.TARGETS, mixing.ANCHOR, carry=carried).where("copies > 0")
+    return mixed.select(*[F.col(f"kept_{c}").alias(c) for c in columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

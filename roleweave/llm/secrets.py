@@ -17,9 +17,11 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from roleweave.llm.common import saved
 
@@ -90,6 +92,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_CANDIDATE))], [*batch.schema.names[:-1], "found"])
 
 
+@F.pandas_udf(BooleanType())
+def holds_candidate(text: pd.Series) -> pd.Series:
+    """Whether :func:`find` finds anything in a text."""
+    return text.map(lambda t: bool(t) and bool(find(t))).astype(bool)
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """``doc_id``, ``owner``, ``found`` (an array of kind, start, end, hash) of every row; one narrow pass."""
     kind = documents.schema[id_col].dataType.simpleString()
