@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) q from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) q from embeddings
            where vec_id is not null and embedding is not null and len(embedding) > 0
-             and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)),
-s as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2]))::bigint score
+             and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+s as (select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint score
       from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
@@ -111,4 +113,65 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filter, op2_language_id, op3_simhash, op4_toxicity, op5_top_k, op6_secrets, op7_html_text, op8_mixing, op9_quality, op10_bpe, pipeline)
 }
-ORACLE = {"op5_top_k": OP5_SQL}
+
+
+def _glob_regex(glob: str) -> str:
+    parts = re.findall(r"\*+|[^*]+", glob)
+    return "".join("(?s:.*)" if p[:2] == "**" else "[^/]*" if p == "*" else re.escape(p) for p in parts).replace("'", "''")
+
+
+def _op1_sql() -> str:
+    """The rules by suffix and prefix tests, the globs as anchored regular expressions."""
+    rules = [(v, h, p, f"{h}{p}") for v, h, p in urlfilter.RULES]
+    rules.sort(key=lambda r: -len(r[3]))
+    globs = sorted(urlfilter.GLOBS, key=lambda g: -len(g[1]))
+    fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then" for _, h, p, _ in rules]
+    matched = [f"when regexp_full_match(concat(host, path), '{_glob_regex(g)}') then" for _, g in globs]
+    rule = "case " + " ".join(f"{f} '{r[3]}'" for f, r in zip(fits, rules)) + " end"
+    verdict = "case " + " ".join(f"{f} '{r[0]}'" for f, r in zip(fits, rules))
+    verdict += " " + " ".join(f"{m} '{v}'" for m, (v, _) in zip(matched, globs)) + f" else '{urlfilter.ALLOW}' end"
+    glob = "case " + " ".join(f"{f} null" for f in fits) + " " + " ".join(f"{m} '{g}'" for m, (_, g) in zip(matched, globs)) + " end"
+    return f"""
+with u as (select page_id,
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages)
+select page_id, host, path, {rule} as rule, {verdict} as verdict, {glob} as glob from u
+"""
+
+
+def _op9_sql() -> str:
+    """Features by unnested windows; quartiles are exact, as the sketches are for groups of this size."""
+    word = r"[^\x20\x09-\x0D]"
+    fails = []
+    for name, least, low, high in quality.RULES:
+        reach = f"{quality.FENCE} * greatest(q_{name}[2] - q_{name}[1], {least})"
+        beyond = [f"{name} > q_{name}[2] + {reach}"] if high else []
+        beyond += [f"{name} < q_{name}[1] - {reach}"] if low else []
+        fails.append("(" + " or ".join(beyond) + ")")
+    quartiles = ", ".join(f"[quantile_disc({n}, 0.25), quantile_disc({n}, 0.75)] as q_{n}" for n, *_ in quality.RULES)
+    return f"""
+with d as (select doc_id, lang, source, coalesce(text, '') as text from documents),
+t as (select *, regexp_extract_all(text, '{word}+') as w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) as l from d),
+win as (select doc_id, i, array_to_string(w[i:i + {quality.WINDOW - 1}], ' ') as s
+        from (select doc_id, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) as i from t where len(w) >= {quality.WINDOW})),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) as n from win) where n > 1),
+covered as (select doc_id, sum(least({quality.WINDOW}, coalesce(nxt - i, {quality.WINDOW}))) as n
+            from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from twice) group by doc_id),
+f as (select t.doc_id, lang, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(l) as n_lines,
+             len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
+      from t left join covered c on c.doc_id = t.doc_id),
+r as (select *, case when n_words > 0 then word_chars / n_words else 0.0 end as mean_word,
+             case when word_chars > 0 then n_symbols / word_chars else 0.0 end as symbol_ratio,
+             case when n_lines > 0 then n_dup_lines / n_lines else 0.0 end as dup_line_ratio,
+             case when n_words > 0 then n_repeat_words / n_words else 0.0 end as repeat_ratio,
+             n_words < {quality.FEWEST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words as base_failed from f),
+q as (select lang, source, {quartiles} from r where not base_failed group by lang, source)
+select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words,
+       base_failed, not base_failed and not coalesce({" or ".join(fails)}, false) as kept
+from r left join q on r.lang is not distinct from q.lang and r.source is not distinct from q.source
+"""
+
+
+ORACLE = {"op1_url_filter": _op1_sql(), "op5_top_k": OP5_SQL, "op9_quality": _op9_sql()}
