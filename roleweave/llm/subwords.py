@@ -11,7 +11,8 @@ once a worker.  Misspellings share n-grams with the words they come from.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -132,28 +133,41 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list, priors: dict | None = None) -> SubwordModel:
-    """Trains embeddings and softmax together with Adagrad on the averaged cross-entropy.
+def fit(rows: Iterable[tuple[str, object]], priors: dict | None = None) -> SubwordModel:
+    """Trains embeddings and softmax together, with Adagrad on the averaged cross-entropy, from (text, label) pairs.
 
-    Classes weigh alike in training; ``priors`` (label to share) moves the bias to the
-    shares that classes have where the model is used.
+    Texts are read once, one at a time; the numbers of their words stay.  Classes weigh
+    alike in training; ``priors`` (label to share) moves the bias to the shares that
+    classes have where the model is used.
     """
+    vocab: dict[str, int] = {}
+    ids, counts, labels = [], [], []
+    for t, label in rows:
+        labels.append(label)
+        words = [w for r in t.split() if (w := word_of(r))]
+        found, number = np.unique(np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int32), return_counts=True)
+        ids.append(found), counts.append((number / max(1, len(words))).astype(np.float32))
     classes = tuple(sorted(set(labels)))
     k = len(classes)
     if k < 2:
         return SubwordModel(classes, np.zeros((BUCKETS, k), np.float32), np.zeros(k))
     y = np.array([classes.index(x) for x in labels])
-    vocab: dict[str, int] = {}
-    ids, counts, sizes = [], [], []
-    for t in texts:
-        words = [w for r in t.split() if (w := word_of(r))]
-        found, number = np.unique(np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int64), return_counts=True)
-        ids.append(found), counts.append(number / max(1, len(words))), sizes.append(len(found))
-    sizes = np.array(sizes)
-    owner, bucket = buckets_of([*vocab])
-    order = np.argsort(owner, kind="stable")
-    used, sub = np.unique(bucket[order], return_inverse=True)  # only buckets met in training have embeddings
-    sub_size = np.bincount(owner, minlength=len(vocab))
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    # the buckets of all words, word by word, a bounded number of words at a time
+    listed, parts, sub_sizes = [*vocab], [], []
+    del vocab
+    for at in range(0, len(listed), WORDS_AT_ONCE):
+        owner, bucket = buckets_of(listed[at : at + WORDS_AT_ONCE])
+        parts.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        sub_sizes.append(np.bincount(owner, minlength=len(listed[at : at + WORDS_AT_ONCE])).astype(np.int32))
+    sub = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    sub_size = np.concatenate(sub_sizes).astype(np.int64) if parts else np.zeros(0, np.int64)
+    del listed, parts, sub_sizes
+    # only buckets met in training have embeddings
+    met = np.zeros(BUCKETS, bool)
+    met[sub] = True
+    used = np.flatnonzero(met)
+    sub = (np.cumsum(met, dtype=np.int32) - 1)[sub]
     sub_at = np.cumsum(sub_size) - sub_size
     rng = np.random.default_rng(SEED)
     emb, emb_sum = np.zeros((len(used), SIZE)), np.full((len(used), SIZE), 1e-8)
@@ -199,6 +213,12 @@ def fit(texts: list[str], labels: list, priors: dict | None = None) -> SubwordMo
     return SubwordModel(classes, weights, bias)
 
 
+def _fitted(priors: dict | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = fit(((t.as_py(), x.as_py()) for b in batches for t, x in zip(b.column("text"), b.column("label"))), priors)
+    numbers = [pa.array([x.tobytes()], pa.binary()) for x in (model.weights, np.asarray(model.bias, np.float64))]
+    yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model.classes)]), *numbers], ["classes", "weights", "bias"])
+
+
 def train(
     documents: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = TEXTS_PER_CLASS, use_priors: bool = True
 ) -> SubwordModel:
@@ -206,8 +226,9 @@ def train(
 
     ``marks`` holds ``mark_id`` and ``label``; documents without a mark, and null texts or
     labels, teach nothing.  Ids and hashes are joined and ranked first; only the sample's
-    texts are read after that, by a broadcast of its ids, which ``per_class`` bounds.  The
-    sample is what the driver holds, whole texts.
+    texts are read after that, by a broadcast of its ids, which ``per_class`` bounds.  One
+    task fits the sample, whole texts, and is repeated if its executor is lost; the driver
+    receives the model.
     """
     rows = documents.select(documents[id_col].alias("row_id"), documents[text_col].cast("string").alias("text")).where("text is not null")
     rows = rows.withColumn("hashed", F.xxhash64("text"))
@@ -215,10 +236,15 @@ def train(
     limits = lowest_hashes(marked, "label", "hashed", per_class)
     chosen = marked.where(within_limits(F.col("label"), F.col("hashed"), limits)).groupBy("label", "hashed").agg(F.min("row_id").alias("row_id"))
     sample = rows.join(F.broadcast(chosen), ["row_id", "hashed"]).groupBy("label", "hashed").agg(F.first("text").alias("text"))
-    got = sample.orderBy("label", "hashed").toArrow()
     share = {r[0]: r[1] for r in marked.groupBy("label").count().collect()} if use_priors else {}
     total = sum(share.values())
-    return fit(got["text"].to_pylist(), got["label"].to_pylist(), {c: n / total for c, n in share.items()} if total else None)
+    priors = {c: n / total for c, n in share.items()} if total else None
+    sorted_sample = sample.repartition(1).sortWithinPartitions("label", "hashed").select("text", "label")
+    got = sorted_sample.mapInArrow(lambda b: _fitted(priors, b), "classes string, weights binary, bias binary").first()
+    classes = tuple(json.loads(got["classes"])) if got else ()
+    shape = (BUCKETS, len(classes))
+    weights = np.frombuffer(bytes(got["weights"]), np.float32).reshape(shape) if got else np.zeros(shape, np.float32)
+    return SubwordModel(classes, weights, np.frombuffer(bytes(got["bias"])) if got else np.zeros(0))
 
 
 _SCORERS: dict[str, Scorer] = {}

@@ -65,7 +65,7 @@ def test_one_class_no_class_and_empty(spark):
 
 def test_word_table_starts_anew(monkeypatch):
     rows, marks = labelled(24)
-    model = subwords.fit([r[1] for r in rows], [m[2] for m in marks])
+    model = subwords.fit([(r[1], m[2]) for r, m in zip(rows, marks)])
     want = subwords.Scorer(model).logits([r[1] for r in rows])
     monkeypatch.setattr(subwords, "WORDS_KEPT", 10)
     small = subwords.Scorer(model)
