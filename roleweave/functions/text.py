@@ -180,10 +180,6 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
-def blank_to_null(c: str | Column) -> Column:
-    return F.nullif(col(c), F.lit(""))
-
-
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(""))
 

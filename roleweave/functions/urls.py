@@ -78,13 +78,3 @@ def absolute_url(base="page_url", href="href") -> Column:
         .when(h.startswith("#"), F.concat(no_frag, h))
         .otherwise(F.concat(origin, directory, h))
     )
-
-
-def prefix_relative(url: Column, base: str, only_rooted: bool = False) -> Column:
-    """Job-site rule: a link not starting with "http" gets the site base prefixed
-    (some sites only when it starts with "/")."""
-    u = F.coalesce(url, F.lit(""))
-    cond = (u != "") & ~u.startswith("http")
-    if only_rooted:
-        cond = cond & u.startswith("/")
-    return F.when(cond, F.concat(F.lit(base), u)).otherwise(u)

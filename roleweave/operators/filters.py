@@ -85,14 +85,14 @@ def filter_recent(postings: DataFrame, as_of, ts="posted_ts", **kw) -> DataFrame
 def keeps_experience(experience="experience", max_min: int = D.EXP_KEEP_MAX_MIN,
                      min_max: int = D.EXP_KEEP_MIN_MAX) -> Column:
     """blank experience passes; else drop ``min > max_min`` or ``max < min_max``."""
-    exp = text_or_empty(experience)
     rng = experience_range(experience)
-    return (exp == "") | ~((rng["min"] > max_min) | (rng["max"] < min_max))
+    return experience_in_reach(text_or_empty(experience) != "", rng["min"], rng["max"], max_min, min_max)
 
 
-def meets_threshold(score="score", threshold: float = D.MATCH_THRESHOLD) -> Column:
-    """F11 (inclusive)."""
-    return col(score) >= F.lit(float(threshold))
+def experience_in_reach(has_exp: Column, lo: Column, hi: Column, max_min: int = D.EXP_KEEP_MAX_MIN,
+                        min_max: int = D.EXP_KEEP_MIN_MAX) -> Column:
+    """F10 on a range that is parsed already."""
+    return ~has_exp | ~((lo > max_min) | (hi < min_max))
 
 
 def excluded_by_query(text: Column, words: Iterable[str] = D.SEARCH_EXCLUSIONS) -> Column:

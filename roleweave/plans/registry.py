@@ -1004,6 +1004,27 @@ def search_frontier(spark, sf_dir):
     return frontier(read_table(spark, sf_dir, "part"), "p_name", FX_LOCATIONS, max_pages=3)
 
 
+def _search_queries_sql() -> str:
+    from roleweave.functions import dictionaries as D
+
+    tail = f" {D.SEARCH_SITE_OPERATORS} " + " ".join(f"-{w}" for w in D.SEARCH_EXCLUSIONS)
+    tail = tail.replace("'", "''")
+    return f"""
+select p_partkey, concat('site:', lower(p_brand), '.example.com "', p_name, '" {FX_LOCATIONS[0]}{tail}') as query_text from part
+"""
+
+
+@register("search_queries", _search_queries_sql())
+def search_queries(spark, sf_dir):
+    """The search-API query text for every part's name at a site of its brand."""
+    from roleweave.sources.frontier import search_query
+    from roleweave.sources.tables import read_table
+
+    site = F.concat(F.lower("p_brand"), F.lit(".example.com"))
+    return read_table(spark, sf_dir, "part").select(
+        "p_partkey", search_query(site, F.col("p_name"), F.lit(FX_LOCATIONS[0])).alias("query_text"))
+
+
 def _page_stop_sql() -> str:
     from roleweave.functions import dictionaries as D
 
