@@ -18,13 +18,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from roleweave.llm.common import kept_in_worker
+
 #: No merge for a pair: larger than any rank.
 NONE = np.int32(2**31 - 1)
 #: Trees are made for at most so many leaves at a time.
@@ -222,13 +223,8 @@ class WordBpe:
         return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def _loaded(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def _coded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bpe = _loaded(path)
+    bpe = kept_in_worker(("bpe", path), lambda: WordBpe(path))
     for batch in batches:
         ids = bpe.encode_all([t or "" for t in batch.column(1).to_pylist()])
         yield pa.RecordBatch.from_arrays(

@@ -36,6 +36,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: dict = {}
+
+
+def kept_in_worker(key: tuple, make):
+    """``make()``, kept by this Python worker until it is asked for something else.
+
+    Tables and word caches are worth keeping between tasks, but a worker serves many
+    operators: it holds one such object at a time.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def id_hash(column: str | Column) -> Column:
     """crc32 of an id's decimal text (null stays null)."""
     c = F.col(column) if isinstance(column, str) else column

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roleweave.llm.common import lowest_hashes, utf8, within_limits
+from roleweave.llm.common import kept_in_worker, lowest_hashes, utf8, within_limits
 
 #: Longest context in bytes.  With one byte more it fills 32 bits, which the n-gram codes use.
 ORDER = 3
@@ -66,8 +66,8 @@ class PpmTable:
         self.symbol[seen] = np.arange(a)
         self.wide = w = a + 2
         # order 0
-        full, after = np.zeros((1, a + 1, langs)), np.zeros((1, a + 1, langs))
-        hits = np.zeros((1, a + 1, langs), np.int64)
+        full, after = np.zeros((1, a + 1, langs), np.float32), np.zeros((1, a + 1, langs), np.float32)
+        hits = np.zeros((1, a + 1, langs), np.int32)
         hits[0, self.symbol[grams[0][0][:, -1]]] = grams[0][1]
         rest = 256 - (hits[:, :a] > 0).sum(axis=1, keepdims=True)
         after[:] = 1 / np.maximum(rest, 1)
@@ -81,11 +81,13 @@ class PpmTable:
             contexts, row = np.unique(bytes_[:, :-1], axis=0, return_inverse=True) if len(bytes_) else (np.zeros((0, d), np.uint8), np.zeros(0, int))
             row = row.ravel()
             shorter = np.array([place[c[1:].tobytes()] for c in contexts], np.int64).reshape(-1)
-            before = np.concatenate(lengths), np.concatenate(escapes), np.concatenate(seen_by)
-            hits = np.zeros((len(contexts), a + 1, langs), np.int64)
+            before = [np.concatenate(x) for x in (lengths, escapes, seen_by)]
+            hits = np.zeros((len(contexts), a + 1, langs), np.int32)
             hits[row, self.symbol[bytes_[:, -1]] if len(bytes_) else row] = number
             full, after = before[0][shorter], before[1][shorter]
-            self._extend(hits, full, after, before[2][shorter])
+            for c in range(langs):  # one language at a time: the steps between need room
+                one = slice(c, c + 1)
+                self._extend(hits[:, :, one], full[:, :, one], after[:, :, one], before[2][shorter, :, one])
             step = np.repeat(np.arange(total, dtype=np.int32), w).reshape(total, w)
             for k, c in enumerate(contexts):
                 step[shorter[k], self.symbol[c[0]]] = total + k
@@ -94,10 +96,13 @@ class PpmTable:
             # a context that a language hasn't met codes like the shorter one, and so do longer ones
             missing = hits.sum(axis=1, keepdims=True) == 0
             hits = np.where(missing, before[2][shorter], hits)
-            lengths.append(full), escapes.append(after), seen_by.append(hits)
+            lengths.append(full)
+            if d < order:
+                escapes.append(after), seen_by.append(hits)
+            del before, hits, after, missing
             total += len(contexts)
         with np.errstate(divide="ignore"):
-            self.lengths = (-np.log(np.concatenate(lengths))).astype(np.float32).reshape(-1, langs)
+            self.lengths = (-np.log(np.concatenate(lengths))).reshape(-1, langs)
 
     @staticmethod
     def _grams(model: PpmCounts) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -218,22 +223,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     return PpmCounts(languages, order, tuple(codes), tuple(counts))
 
 
-_TABLES: dict[str, PpmTable] = {}
-
-
-def _table(model: PpmCounts, key: str) -> PpmTable:
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = PpmTable(model)
-    return _TABLES[key]
-
-
 def _scored(model: PpmCounts, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = np.array(model.languages, object)
     for batch in batches:
         data, offsets = utf8(batch.column(batch.num_columns - 1))
         if len(names):
-            nats = _table(model, key).code_lengths(data, offsets)
+            nats = kept_in_worker(("ppm", key), lambda: PpmTable(model)).code_lengths(data, offsets)
             best = nats.argmin(axis=1)
             least = nats[np.arange(len(nats)), best]
             share = 1 / np.exp(least[:, None] - nats).sum(axis=1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roleweave.llm.common import lowest_hashes, within_limits
+from roleweave.llm.common import kept_in_worker, lowest_hashes, within_limits
 
 #: Buckets, n-gram lengths, embedding size.
 BUCKETS, SHORTEST, LONGEST, SIZE = 1 << 17, 3, 5, 8
@@ -31,7 +31,7 @@ STEPS, BATCH, RATE, SCALE, DECAY, SEED = 250, 128, 0.2, 60.0, 1e-5, 7
 #: An odd multiplier of the rolling hash.
 BASE = np.uint64(0x100000001B3)
 #: Words whose numbers a worker keeps.
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 17
 #: Words whose n-grams are hashed at a time.
 WORDS_AT_ONCE = 1 << 15
 
@@ -214,6 +214,7 @@ def fit(rows: Iterable[tuple[str, object]], priors: dict | None = None) -> Subwo
 
 
 def _fitted(priors: dict | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept_in_worker(("fit",), lambda: None)  # whatever this worker kept goes first
     model = fit(((t.as_py(), x.as_py()) for b in batches for t, x in zip(b.column("text"), b.column("label"))), priors)
     numbers = [pa.array([x.tobytes()], pa.binary()) for x in (model.weights, np.asarray(model.bias, np.float64))]
     yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model.classes)]), *numbers], ["classes", "weights", "bias"])
@@ -247,17 +248,12 @@ def train(
     return SubwordModel(classes, weights, np.frombuffer(bytes(got["bias"])) if got else np.zeros(0))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scored(model: SubwordModel, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
+    scorer = kept_in_worker(("subwords", key), lambda: Scorer(model))
     k = len(model.classes)
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        p = softmax(_SCORERS[key].logits(texts)) if k else np.zeros((len(texts), 0))
+        p = softmax(scorer.logits(texts)) if k else np.zeros((len(texts), 0))
         shares = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(p.ravel()))
         words = pa.array([len(t.split()) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], words, shares], [*batch.schema.names[:-1], "n_words", "shares"])
