@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,10 +51,18 @@ def kept_in_worker(key: tuple, make):
     """
     if key not in _KEPT:
         _KEPT.clear()
+        give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which a long-lived worker would else hold."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def id_hash(column: str | Column) -> Column:
     """crc32 of an id's decimal text (null stays null)."""
     c = F.col(column) if isinstance(column, str) else column
