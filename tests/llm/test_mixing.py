@@ -63,3 +63,24 @@ def test_mix(spark):
     none = mixing.mix(docs, mixing.train(docs, mixing.domains(labels.where("false"))), {"a": 1.0}).collect()
     assert {r.copies for r in none} == {1} and len(none) == len(rows)
     assert mixing.mix(documents(spark, []), model, {"q1t0": 1.0}).count() == 0
+
+
+def sharp(n=400, seed=5):
+    """Posteriors of a good classifier over four domains with the label table's shares."""
+    rng = np.random.default_rng(seed)
+    logits = rng.normal(0, 1, (n, 4)) + 5 * np.eye(4)[rng.choice(4, n, p=[0.126, 0.017, 0.761, 0.096])]
+    shares = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    return [(int(rng.integers(5, 900)), s.tolist()) for s in shares]
+
+
+def test_fit_converges_and_reports(spark):
+    names = ("q0t0", "q0t1", "q1t0", "q1t1")
+    found = mixing.fit(soft(spark, sharp()), names, mixing.TARGETS, mixing.ANCHOR, reachable=True)
+    assert found.converged and found.passes < 30 and found.gradient <= mixing.TOLERANCE
+    got, _ = totals(sharp(), found.steps)
+    rows = {r["domain"]: r for r in found.report()}
+    assert np.allclose([rows[d]["achieved"] for d in names], got, rtol=1e-6)
+    size = sum(rows[d]["wanted"] for d in names)
+    assert all(abs(rows[d]["achieved"] - rows[d]["aimed"]) <= 2 * mixing.TOLERANCE * size for d in names)
+    assert rows["q0t1"]["wanted"] == 0 < rows["q0t1"]["aimed"]  # no posterior is 0
+    assert not mixing.fit(soft(spark, sharp()), names, mixing.TARGETS, mixing.ANCHOR, iterations=1).converged
