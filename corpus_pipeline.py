@@ -94,7 +94,10 @@ def mask(text: str, spans: str):
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that expected domain tokens match the production targets."""
+    """Repeats and drops documents so that expected domain tokens match the production targets.
+
+    Documents that are likeliest of the anchor, the clean domain, are never dropped.
+    """
     ready(spark)
     columns = _columns(docs)
     model = mixing.train(docs, mixing.domains(table(spark, sf_dir, "labels")))

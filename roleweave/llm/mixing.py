@@ -213,7 +213,8 @@ def mix(
 ) -> DataFrame:
     """Per row: ``doc_id``, ``text_hash``, the ``carry`` columns, ``n_words``, ``domain``, ``shares``, ``rate``, ``copies``.
 
-    ``domain`` is the likeliest one (ties: the first by name), ``rate`` the fitted rate,
+    ``domain`` is the likeliest one (ties: the first by name), ``rate`` the fitted rate, at
+    least 1 where ``domain`` is the anchor, so that only the other domains are thinned,
     ``copies`` how often the row goes into the mixture: the rate's whole part, and one
     more with the rest as its chance, drawn from a hash of id and text, so equal rows
     draw alike and every run draws the same.  Tokens are runs without white space; a row
@@ -229,12 +230,12 @@ def mix(
     if k < 2:
         return full.select("doc_id", "text_hash", *carried, "n_words", F.lit(model.classes[0] if k else None).cast("string").alias("domain"), "shares", F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     soft = saved(soft)
-    found = fit(soft, model.classes, targets, anchor, iterations, reachable=True)
+    found = fit(soft, model.classes, targets, anchor, iterations, reachable=True, keep_anchor=True)
     logging.getLogger(__name__).log(
         logging.INFO if found.converged else logging.WARNING, "mixture %s after %d passes, gradient %.1e: %s",
         "converged" if found.converged else "not converged", found.passes, found.gradient, found.report(),
     )
-    steps, kept = found.steps, None
+    steps, kept = found.steps, model.classes.index(anchor) if anchor in model.classes and targets.get(anchor, 0) > 0 else None
     # carried columns are too wide to keep or to join: their rows are scored once more in passing
     rated = full if carry else soft
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.schema.fields)

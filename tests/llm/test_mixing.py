@@ -84,3 +84,16 @@ def test_fit_converges_and_reports(spark):
     assert all(abs(rows[d]["achieved"] - rows[d]["aimed"]) <= 2 * mixing.TOLERANCE * size for d in names)
     assert rows["q0t1"]["wanted"] == 0 < rows["q0t1"]["aimed"]  # no posterior is 0
     assert not mixing.fit(soft(spark, sharp()), names, mixing.TARGETS, mixing.ANCHOR, iterations=1).converged
+
+
+def test_likely_anchor_documents_are_never_dropped(spark):
+    rng = np.random.default_rng(8)
+    rows = corpus(60) + [(100 + i, f"{corpus(60)[i][1]} {corpus(60)[i + 1][1]}", "aa", "s") for i in rng.permutation(50).tolist()]  # posteriors between domains
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 1)) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = mixing.train(docs, mixing.domains(labels))
+    got = mixing.mix(docs, model, {"q1t0": 0.9, "q0t0": 0.1}, "q1t0").collect()
+    clean = [r for r in got if r.domain == "q1t0"]
+    assert len(got) == len(rows) and clean and all(r.rate >= 1 and r.copies >= 1 for r in clean)
+    assert any(max(r.shares) < 0.9 for r in clean)
+    assert sum(r.n_words * r.rate for r in got if r.domain != "q1t0") < 0.5 * sum(r.n_words for r in got if r.domain != "q1t0")
