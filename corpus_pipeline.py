@@ -61,7 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each live-looking secret by its kind in brackets; documents stay.
 
-    Values that several owners hold are published examples and stay as they are.  Rows
+    Values that several owners or many documents hold are published examples and stay as they are.  Rows
     whose id is null or repeated are matched by id and text, so each gets its own spans.
     """
     ready(spark)

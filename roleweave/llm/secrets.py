@@ -2,7 +2,10 @@
 
 Candidates are found by pattern in every whole text and hashed.  How many distinct owners
 and repositories hold a hash tells copies of a published example from a credential of
-somebody's own: a value that several owners hold is ``example``, any other is ``live``.
+somebody's own.  A value is ``example`` when at least ``OWNERS`` distinct owners or at least
+``REPOSITORIES`` distinct repositories hold it, whatever the corpus' size: many owners
+don't share a credential, and one owner doesn't spread it over many repositories.  Any
+other is ``live``.
 The base kinds are reported whatever their class.  The method adds ``token`` spans: bare
 random-looking runs that the base kinds miss, where the whole corpus shows them to be
 owner-specific.
@@ -34,8 +37,8 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: The method's own kind: a bare run of at least so many characters with this entropy (bits a character).
 TOKEN, TOKEN_CHARS, TOKEN_BITS = "token", 24, 3.5
 BARE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % TOKEN_CHARS)
-#: A value held by at least so many owners is a widely copied example.
-OWNERS = 3
+#: A value held by at least so many owners, or by so many repositories of whatever owners, is a widely copied example.
+OWNERS, REPOSITORIES = 3, 10
 
 _RUN = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _BARE = bytes(1 if re.match(r"[A-Za-z0-9+/_-]", chr(b)) and b < 128 else 0 for b in range(256))
@@ -117,17 +120,17 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", min_owners: int = OWNERS) -> DataFrame:
+def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", min_owners: int = OWNERS, min_repositories: int = REPOSITORIES) -> DataFrame:
     """Per row: ``doc_id``, ``base`` and ``spans`` (arrays of kind, start, end) and ``live`` (spans that are no example).
 
     ``base`` has the contract's kinds; ``spans`` has them and the method's ``token``
-    spans, which only values of fewer than ``min_owners`` owners become; both are sorted
-    by start, then kind.  A null or empty text has none.  Rows that hold no candidate
+    spans, which only values of fewer than ``min_owners`` owners and ``min_repositories``
+    repositories become; both are sorted by start, then kind.  A null or empty text has none.  Rows that hold no candidate
     never meet a shuffle by hash.  A null id and repeated ids keep a row each: each row
     carries its own spans.
     """
     scanned = saved(scan(documents, id_col, text_col, owner_col))
-    wide = ownership(scanned).where(F.col("owners") >= min_owners).select("hash", "owners")
+    wide = ownership(scanned).where((F.col("owners") >= min_owners) | (F.col("repositories") >= min_repositories)).select("hash", "owners")
     # a row's candidates stay together under a key of their own; equal rows share it, as their spans are equal
     holding = scanned.where(F.size("found") > 0).withColumn("row_key", F.xxhash64(F.col("doc_id"), F.to_json("found")))
     each = holding.select("row_key", F.explode("found").alias("x")).distinct().select("row_key", "x.*")

@@ -59,3 +59,14 @@ def test_rows_stay(spark):
 def test_written(spark):
     r = secrets.find_secrets(documents(spark, [(1, "password=12345678 " + HEX40, "a", "s")])).select(secrets.written("spans").alias("w")).first()
     assert r.w == "assign:0:17,hex:18:58"
+
+
+def test_many_repositories_of_one_owner(spark):
+    shared, live = f"password=example12345 {BARE}", f"password=mine12345678 {BARE[::-1]}"
+    rows = [(i, f"{shared} {i}", "aa", "hot") for i in range(secrets.REPOSITORIES)] + [(100 + i, f"{live} {i}", "aa", "hot") for i in range(secrets.REPOSITORIES - 1)]
+    rows += [(100, f"{live} 0", "aa", "hot")] * 5  # repeats of a row are one repository
+    got = secrets.find_secrets(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [s.kind for s in r.base] == ["assign"]
+        assert ([s.kind for s in r.spans], len(r.live)) == ((["assign"], 0) if r.doc_id < 100 else (["assign", "token"], 2))
