@@ -50,17 +50,15 @@ def _radii(pivots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _lower(pivots: np.ndarray, radius: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's best lower bounds by query group, ``k`` of each at most, and its largest component."""
+    """A task's best lower bounds by query group, ``k`` of each at most."""
     best = np.full((0, len(pivots)), -np.inf)
-    most = 0.0
     for batch in batches:
         x = _matrix(batch.column(0), pivots.shape[1]).astype(float)
         if len(x):
-            most = max(most, np.abs(x).max())
             low = x @ pivots.T - np.sqrt((x**2).sum(axis=1))[:, None] * radius
             best = np.sort(np.concatenate([best, low]), axis=0)[-k:]
     groups = np.repeat(np.arange(len(pivots), dtype=np.int32), len(best))
-    yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(best.T.ravel()), pa.array(np.full(len(groups), most))], ["part", "low", "most"])
+    yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(best.T.ravel())], ["part", "low"])
 
 
 def _group_queries(pivots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +161,17 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, id_
     groups, far = np.zeros(len(p), np.int64), np.zeros(len(p))
     for r in q.select("v").mapInArrow(lambda b: _radii(p, b), "part int, n bigint, far double").groupBy("part").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect():
         groups[r["part"]], far[r["part"]] = r["n"], r["far"]
-    low = x.select("v").mapInArrow(lambda b: _lower(p, far, k + 1, b), "part int, low double, most double")
+    low = x.select("v").mapInArrow(lambda b: _lower(p, far, k + 1, b), "part int, low double")
     ranked = low.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("low")))).where(F.col("place") <= k + 1)
-    least, most = np.full(len(p), -np.inf), 0.0
-    for r in ranked.groupBy("part").agg(F.min("low").alias("low"), F.count("*").alias("n"), F.max("most").alias("most")).collect():
-        least[r["part"]], most = (r["low"] if r["n"] > k else -np.inf), max(most, r["most"])
+    least = np.full(len(p), -np.inf)
+    for r in ranked.groupBy("part").agg(F.min("low").alias("low"), F.count("*").alias("n")).collect():
+        least[r["part"]] = r["low"] if r["n"] > k else -np.inf
     least[groups == 0] = np.inf  # no query there
     biggest = float(np.abs(p).max()) + float(far.max())
+    # the largest component of all rows, those with poor bounds too: they can be sent as well
+    whole = x.agg(F.count("*").alias("n"), F.max(F.array_max("v").cast("double")).alias("high"), F.min(F.array_min("v").cast("double")).alias("low")).first()
+    rows, most = whole["n"], max(whole["high"] or 0.0, -(whole["low"] or 0.0))
     exact_float = max(biggest, most) * most * p.shape[1] < 2**52
-    rows = x.count()
     query_parts = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // QUERY_ROWS))) for n in groups]), F.col("part") + 1)
     data_parts = max(1, -(-rows // DATA_ROWS))
     own = F.pmod(F.xxhash64("id"), query_parts).cast("int")

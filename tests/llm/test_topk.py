@@ -52,3 +52,16 @@ def test_awkward_rows(spark):
 def test_quantized(spark):
     df = spark.createDataFrame([(1, [0.5, -0.01]), (2, [1.0, None]), (3, [float("nan")]), (4, [float("inf")]), (5, None), (6, [])], "i int, e array<float>")
     assert [r[0] for r in df.orderBy("i").select(topk.quantized(df["e"])).collect()] == [[32, -1], None, None, None, None, None]
+
+
+def test_one_outlier_alone_in_its_task(spark):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    rows = [(i, [10, 3 if i % 2 else -3]) for i in range(8)] + [(50, [0, 40000])]  # bounds of 50 are the worst of all
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false"), spark.conf.set("spark.sql.shuffle.partitions", "64")
+        got = topk.top_k(table(spark, rows), table(spark, rows[:2]), 2, pivots=1).orderBy("query_id", "rank").collect()
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert [tuple(r) for r in got] == slow(rows, rows[:2], 2)
+    assert got[2].vec_id == 50 and got[2].score == 120000
