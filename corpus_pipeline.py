@@ -20,15 +20,30 @@ from roleweave.session import checkpoint_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose shortest code is longer than its own bytes is no text of a learned language.
 MOST_BITS_PER_BYTE = 8.0
+#: Beyond this quantile of a language's own bits a byte, at so many times its distance from
+#: the median (or half the median, where texts hardly differ), a text is of no learned
+#: language; a text may have so many bits more, whatever its length: a name or a number.
+HIGH, TIMES, EXTRA_BITS, SKETCH = 0.95, 5.0, 96.0, 10_000
 
 
 def _columns(docs: DataFrame) -> list[str]:
     return [c for c in COLUMNS if c in docs.columns]
 
 
+def language_fences(found: DataFrame) -> dict:
+    """The most bits a byte of a long text, by language, from ``lang_pred``, ``given`` and ``bits_per_byte``.
+
+    Each language's own distribution decides: that of the documents labelled with it and
+    predicted as it, by mergeable sketches, so texts of a language that wasn't learned
+    don't widen the fence of the one they fall to.
+    """
+    sketch = F.percentile_approx("bits_per_byte", [0.5, HIGH], SKETCH)
+    return {r["lang_pred"]: r["q"][0] + max(TIMES * (r["q"][1] - r["q"][0]), r["q"][0] / 2) for r in found.where("lang_pred = given").groupBy("lang_pred").agg(sketch.alias("q")).collect()}
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (null texts too) and those no learned language can code
-    in fewer bits than their bytes have; ``lang`` becomes the predicted language.
+    """Rejects documents without a letter (null texts too) and those that no learned language
+    codes about as well as its own texts; ``lang`` becomes the predicted language.
 
     Learns from documents whose id hash mod 4 is not 2, like ``op2``.  Where no language
     can be learned, nothing is known and all documents stay as they are.
@@ -38,9 +53,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.train(docs.where(~held_out))
     if not model.languages:
         return docs.select(*_columns(docs))
+    # two narrow passes: the first one's sketches are small, and whole texts aren't kept
+    fences = language_fences(language.identify(docs, model, carry=(docs["lang"].cast("string").alias("given"),)))
     carried = tuple(docs[c].alias(f"kept_{c}") for c in _columns(docs) if c not in ("doc_id",))
     found = language.identify(docs, model, carry=carried)
-    good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE))
+    fence = F.lit(MOST_BITS_PER_BYTE)
+    for name, most in fences.items():
+        fence = F.when(F.col("lang_pred") == name, F.lit(most) + F.lit(EXTRA_BITS) / F.octet_length("kept_text")).otherwise(fence)
+    good = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= F.least(fence, F.lit(MOST_BITS_PER_BYTE))))
     return good.select(*[F.col("doc_id") if c == "doc_id" else F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"kept_{c}").alias(c) for c in _columns(docs)])
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -67,3 +68,17 @@ def test_queries_answer_every_row(spark, name):
     given = spark.read.parquet(f"{SF}/{table}.parquet").select(key)
     got = queries.QUERIES[name](spark, SF).select(F.col(key))
     assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in given.collect())
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    checkpoint_dir(spark)
+    rng = random.Random(4)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 300")
+    learned = [tuple(r) for r in given.where("lang in ('en', 'de', 'es')").select("doc_id", "text", "lang", "source").limit(300).collect()]
+    foreign = [(10_000_000 + i, r.text, None, "s") for i, r in enumerate(given.where("lang = 'fr'").select("text").limit(20).collect())]
+    salad = [(20_000_000 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)), None, "s") for i in range(10)]
+    short = [(30_000_000 + i, " ".join(text.split()[:n]), lang, "s") for i, (n, (_, text, lang, _)) in enumerate(zip([2, 5, 9] * 20, learned))]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, documents(spark, learned + foreign + salad + short, clashes=False), SF).collect()}
+    assert sum(r[0] in got for r in foreign) <= 1 and not any(r[0] in got for r in salad)
+    assert sum(r[0] in got for r in learned) >= 0.97 * len(learned)
+    assert sum(r[0] in got for r in short) >= 0.95 * len(short)
