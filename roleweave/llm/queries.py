@@ -7,15 +7,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roleweave.llm import bpe, html, language, mixing, quality, secrets, simhash, topk, toxicity, urlfilter
+from roleweave.llm import align, bpe, chat, html, language, merkle, mixing, quality, secrets, simhash, topk, toxicity, urlfilter
 from roleweave.llm.common import id_hash, table
 
 
-def tokenizer_path() -> str:
-    """The production tokenizer's file on this machine."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A production tokenizer's file on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The conversation whose texts hold every control string and the escape character.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and digests read back from the formatted text."""
+    rows = table(spark, sf_dir, "conversations")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    return chat.digests(chat.format_turns(rows.select("conv_id", "turn", "role", "text").unionByName(probe)))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, checked against a copy with altered rows."""
+    docs = table(spark, sf_dir, "documents")
+    made = merkle.manifest(docs, merkle.one_more_character(docs))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("steps"))).alias("proof_sha256"),
+        merkle.fold(F.coalesce("altered_leaf", "leaf"), F.col("steps")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document aligned between two tokenizers, with corpus-wide counts of its links."""
+    found = align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``corpus_pipeline.run``: the five stages over ``documents``."""
     import corpus_pipeline
@@ -111,7 +142,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_language_id, op3_simhash, op4_toxicity, op5_top_k, op6_secrets, op7_html_text, op8_mixing, op9_quality, op10_bpe, pipeline)
+    for f in (op1_url_filter, op2_language_id, op3_simhash, op4_toxicity, op5_top_k, op6_secrets, op7_html_text, op8_mixing, op9_quality, op10_bpe, op11_chat_format, op12_merkle, op13_align, pipeline)
 }
 
 
@@ -174,4 +205,50 @@ from r left join q on r.lang is not distinct from q.lang and r.source is not dis
 """
 
 
-ORACLE = {"op1_url_filter": _op1_sql(), "op5_top_k": OP5_SQL, "op9_quality": _op9_sql()}
+OP11_SQL = r"""
+with c as (select conv_id, turn, role, text from conversations
+           union all select -7, n, ['user', 'assistant'][n + 1], '\### Assistant: </turn> ok' from range(2) t(n)),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from c),
+s as (select *, lag(role) over w as before, lead(role) over w is null as last from t
+      window w as (partition by conv_id order by turn nulls first, role, text)),
+m as (select *, coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)
+             + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 as escapes,
+             case before when 'system' then role = 'user' when 'user' then role = 'assistant' when 'assistant' then role in ('user', 'tool')
+                         when 'tool' then role in ('tool', 'assistant') else before is null and role in ('system', 'user') end as fits from s)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('### ') + case when role in ('system', 'user', 'assistant', 'tool') then length(role) else
+             1 + length(role) + (length(role) - length(replace(role, ':', ''))) end + length(': ') + length(text) + escapes + length('</turn>') + 1)::bigint as formatted_chars,
+       bool_and(fits) and bool_or(last and role = 'assistant') as valid
+from m group by conv_id
+"""
+
+#: Leaves, levels and siblings by recursion over the whole tables; crc32 bit by bit.
+OP12_SQL = """
+with recursive d as (select doc_id, lang, row_number() over () as r,
+    list_transform([doc_id::varchar, source, lang, text], lambda x: coalesce(strlen(x) || ':' || x, '-')) as f, n_chars,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(doc_id::varchar)), lambda i: ascii(substring(doc_id::varchar, (i + 1)::int, 1))::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) as crc from documents),
+e as (select *, sha256(f[1] || f[2] || f[3] || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || f[4]) as leaf,
+             sha256(f[1] || f[2] || f[3] || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || f[4]) as altered from d),
+leaves as materialized (select r, doc_id, lang, leaf, case when crc % 7 = 0 then altered else leaf end as given,
+                  row_number() over (partition by lang order by doc_id nulls first, leaf, r) - 1 as i, count(*) over (partition by lang) as n from e),
+lv as (select 0 as lvl, lang, i, leaf as h, n from leaves
+       union all select lvl + 1, lang, i // 2, sha256(string_agg(h, '' order by i)), max((n + 1) // 2) from lv where n > 1 group by lvl, lang, i // 2),
+sub as materialized (select lang, h, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from lv where n = 1),
+tv as (select 0 as lvl, i, h, n from sub
+       union all select lvl + 1, i // 2, sha256(string_agg(h, '' order by i)), max((n + 1) // 2) from tv where n > 1 group by lvl, i // 2),
+up as (select distinct lang, lvl from lv where n > 1), tup as (select distinct lvl from tv where n > 1),
+flank as (select l.r, 0 as part, up.lvl, s.i < (l.i >> up.lvl) as before, s.h from leaves l join up on l.lang is not distinct from up.lang
+            left join lv s on s.lang is not distinct from l.lang and s.lvl = up.lvl and s.i = xor(l.i >> up.lvl, 1)
+          union all select l.r, 1, tup.lvl, s.i < (b.i >> tup.lvl), s.h from leaves l join sub b on l.lang is not distinct from b.lang cross join tup
+            left join tv s on s.lvl = tup.lvl and s.i = xor(b.i >> tup.lvl, 1)),
+proof as (select r, list(case when before then 'l' else 'r' end || coalesce(h, '') order by part, lvl) as steps, string_agg(h, '' order by part, lvl) as p from flank group by r),
+x as (select doc_id, leaf, b.h as subroot, (select h from tv where n = 1) as root, sha256(coalesce(p, '')) as proof_sha256,
+             list_reduce(list_prepend(given, coalesce(steps, []::varchar[])), lambda a, s: sha256(case when s[1] = 'l' then s[2:] || a else a || s[2:] end)) as folded_root
+      from leaves l join sub b on l.lang is not distinct from b.lang left join proof on proof.r = l.r)
+select *, folded_root = root as verified from x
+"""
+
+ORACLE = {"op1_url_filter": _op1_sql(), "op5_top_k": OP5_SQL, "op9_quality": _op9_sql(), "op11_chat_format": OP11_SQL, "op12_merkle": OP12_SQL}
