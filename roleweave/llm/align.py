@@ -101,20 +101,39 @@ class PieceBpe:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return [self.library.encode(t) for t in texts]
+        return self.library.encode(texts, num_threads=1)
 
 
-def runs(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges ``(i, i2, j, j2)`` of tokens by their ends ``a`` and ``b`` (ascending, equal last ends).
+def walk(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Places of each two tokens whose byte ranges overlap, by their ends ``a`` and ``b``.
 
-    A range whose first ends agree is a stretch of one-to-one groups; any other is one group.
+    Both ascend to the same last end.  A group ends with each two that end together.
     """
+    left: list[int] = []
+    right: list[int] = []
     i = j = 0
     n, m = len(a), len(b)
     while i < n:
-        if a[i] == b[j]:
-            shift, end, step = j - i, i + 1, 1
-            last = min(n, m - shift)
+        x, y = a[i], b[j]
+        if x != y:
+            # an irregular group: the side that ends first goes on; each step is an overlap
+            while x != y:
+                left.append(i)
+                right.append(j)
+                if x < y:
+                    i += 1
+                    x = a[i]
+                else:
+                    j += 1
+                    y = b[j]
+            left.append(i)
+            right.append(j)
+            i += 1
+            j += 1
+            continue
+        shift, end, step = j - i, i + 1, 1
+        last = min(n, m - shift)
+        if end < last and a[end] == b[end + shift]:
             # probe along the diagonal: doubling while stretches agree, then halving
             while end + step <= last and a[end : end + step] == b[end + shift : end + shift + step]:
                 end += step
@@ -122,31 +141,13 @@ def runs(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
             while step := step >> 1:
                 if end + step <= last and a[end : end + step] == b[end + shift : end + shift + step]:
                     end += step
-            yield i, end, j, end + shift
-            i, j = end, end + shift
-        else:
-            x, y = i, j
-            while a[x] != b[y]:
-                if a[x] < b[y]:
-                    x += 1
-                else:
-                    y += 1
-            yield i, x + 1, j, y + 1
-            i, j = x + 1, y + 1
-
-
-def links(a: list[int], b: list[int], i: int, i2: int, j: int, j2: int) -> list[tuple[int, int]]:
-    """Token places of a group whose byte ranges overlap."""
-    out = [(i, j)]
-    while i + 1 < i2 or j + 1 < j2:
-        if a[i] < b[j]:
-            i += 1
-        elif b[j] < a[i]:
-            j += 1
-        else:
-            raise ValueError("two groups taken as one")
-        out.append((i, j))
-    return out
+            left += range(i, end)
+            right += range(j, end + shift)
+        else:  # one group stands alone
+            left.append(i)
+            right.append(j)
+        i, j = end, end + shift
+    return left, right
 
 
 class Aligner:
@@ -155,12 +156,14 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteBpe(a_path), PieceBpe(b_path)
         self.a_size, self.b_size = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
-        self.a_name, self.b_name = ([str(i) for i in range(len(t.bytes))] for t in (self.a, self.b))
+        # ids as written within a group and as its last of either side
+        self.a_name, self.b_name = (
+            np.array([[f"{i}{sign}" for i in range(len(t.bytes))] for sign in signs], object) for t, signs in ((self.a, ",|"), (self.b, ",;"))
+        )
 
     def align_all(self, texts: list[str | None]) -> list[tuple]:
         """Per text: ``(n_a, n_b, n_groups, groups, pairs)``; ``pairs`` are its links as id pairs, one number each."""
-        none = (0, 0, 0, "", np.zeros(0, np.int64))
-        out: list[tuple] = [none] * len(texts)
+        out: list[tuple] = [(0, 0, 0, "", np.zeros(0, np.int64))] * len(texts)
         full = [k for k, t in enumerate(texts) if t]
         all_a = self.a.encode_all([" " + texts[k] for k in full])
         all_b = self.b.encode_all([texts[k] for k in full])
@@ -171,22 +174,20 @@ class Aligner:
         return out
 
     def align(self, a: list[int], b: list[int]) -> tuple:
+        """The same for the ids of a text that is not empty and that both write whole."""
         a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-        a_end, b_end = np.cumsum(self.a_size[a_ids]).tolist(), np.cumsum(self.b_size[b_ids]).tolist()
-        a_name, b_name = [*map(self.a_name.__getitem__, a)], [*map(self.b_name.__getitem__, b)]
-        groups, left, right = [], [], []
-        for i, i2, j, j2 in runs(a_end, b_end):
-            if a_end[i] == b_end[j]:
-                groups += [f"{x}|{y}" for x, y in zip(a_name[i:i2], b_name[j:j2])]
-                left += range(i, i2)
-                right += range(j, j2)
-            else:
-                groups.append(",".join(a_name[i:i2]) + "|" + ",".join(b_name[j:j2]))
-                for x, y in links(a_end, b_end, i, i2, j, j2):
-                    left.append(x)
-                    right.append(y)
-        pairs = a_ids[left] * SECOND + b_ids[right]
-        return len(a), len(b), len(groups), ";".join(groups), pairs
+        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        left, right = map(np.array, walk(a_end.tolist(), b_end.tolist()))
+        ends = np.flatnonzero(a_end[left] == b_end[right])
+        # a group is written as its ids of the first, then those of the second: every id
+        # goes behind what the other side has in the groups before (for the second: and in its own)
+        a_upto, b_upto = np.append(0, left[ends] + 1), np.append(0, right[ends] + 1)
+        a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_last[left[ends]] = b_last[right[ends]] = 1
+        written = np.empty(len(a) + len(b), object)
+        written[np.arange(len(a)) + b_upto[np.cumsum(a_last) - a_last]] = self.a_name[a_last, a_ids]
+        written[np.arange(len(b)) + a_upto[np.cumsum(b_last) - b_last + 1]] = self.b_name[b_last, b_ids]
+        return len(a), len(b), len(ends), "".join(written.tolist())[:-1], a_ids[left] * SECOND + b_ids[right]
 
 
 def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -209,22 +210,24 @@ def _packed(ids: list, kind: pa.DataType, made: list[tuple]) -> tuple[np.ndarray
 
     A document holds the places of its distinct pairs among the block's, as differences.
     """
-    sizes = np.array([len(m[4]) for m in made])
-    keys, place = np.unique(np.concatenate([m[4] for m in made]), return_inverse=True)
-    ends = np.cumsum(sizes)
-    places, times = [], []
-    for begin, end in zip((ends - sizes).tolist(), ends.tolist()):
-        own, count = np.unique(place[begin:end], return_counts=True)
-        places.append(np.diff(own, prepend=0).astype(np.int32))
-        times.append(count.astype(np.int32))
+    own = [np.unique(m[4], return_counts=True) for m in made]
+    keys, place = np.unique(np.concatenate([p for p, _ in own]), return_inverse=True)
+    times = np.concatenate([c for _, c in own]).astype(np.int64)
+    ends = np.cumsum([0, *(len(p) for p, _ in own)])
+    apart = np.diff(place, prepend=0)
+    first = ends[:-1][np.diff(ends) > 0]
+    apart[first] = place[first]
+    listed = lambda flat: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
     docs = pa.RecordBatch.from_pydict({
-        "doc_id": pa.array(ids, kind), "n_a": [m[0] for m in made], "n_b": [m[1] for m in made], "n_groups": [m[2] for m in made], "n_links": sizes,
-        "groups": pa.array([m[3] for m in made], pa.large_string()), "places": pa.array(places, pa.list_(pa.int32())), "times": pa.array(times, pa.list_(pa.int32())),
+        "doc_id": pa.array(ids, kind), "n_a": [m[0] for m in made], "n_b": [m[1] for m in made], "n_groups": [m[2] for m in made], "n_links": [len(m[4]) for m in made],
+        "groups": pa.array([m[3] for m in made], pa.large_string()), "places": listed(apart), "times": listed(times),
     })
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(docs)
-    return keys, np.bincount(place, minlength=len(keys)), sink.getvalue().to_pybytes()
+    links = np.zeros(len(keys), np.int64)
+    np.add.at(links, place, times)
+    return keys, links, sink.getvalue().to_pybytes()
 
 
 _RESULT = "doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"

@@ -103,23 +103,14 @@ def test_any_text_is_aligned_as_by_byte_positions(text):
 
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=60), st.integers(0, 2**32))
 @settings(max_examples=300, deadline=None)
-def test_runs_cut_where_both_end(sizes, seed):
+def test_links_are_the_overlaps(sizes, seed):
     rng = random.Random(seed)
     total = sum(sizes)
     a = sorted({total, *[e for e in range(1, total) if rng.random() < 0.7]})
     b = sorted({total, *[e for e in a if rng.random() < 0.9], *[e for e in range(1, total) if rng.random() < 0.1]})
-    ends = []
-    at = (0, 0)
-    for i, i2, j, j2 in align.runs(a, b):
-        assert (i, j) == at and a[i2 - 1] == b[j2 - 1]
-        at = (i2, j2)
-        if a[i] == b[j]:
-            assert a[i:i2] == b[j:j2]
-            ends += a[i:i2]
-        else:
-            ends.append(a[i2 - 1])
-            assert not set(a[i : i2 - 1]) & set(b[j : j2 - 1])
-    assert at == (len(a), len(b)) and ends == sorted(set(a) & set(b))
+    left, right = align.walk(a, b)
+    owner = [[i for i, e in enumerate(side) for _ in range(side[i - 1] if i else 0, e)] for side in (a, b)]
+    assert list(zip(left, right)) == sorted(set(zip(*owner)))
 
 
 def test_a_long_one_to_one_stretch_is_few_comparisons():
@@ -131,5 +122,6 @@ def test_a_long_one_to_one_stretch_is_few_comparisons():
             return super().__getitem__(k)
 
     ends = [*range(1, 100_001)]
-    assert [*align.runs(Counted(ends), ends)] == [(0, 100_000, 0, 100_000)]
+    places = [*range(100_000)]
+    assert align.walk(Counted(ends), ends) == (places, places)
     assert Counted.slices < 60
