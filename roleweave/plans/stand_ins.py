@@ -21,10 +21,20 @@ AS_OF = "2001-11-04 00:00:00"
 SEEN_BEFORE = "2001-10-01 00:00:00"
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table of few files over all cores, before anything is made of them.
+
+    The given tables are one file of one row group each, which one task would read; a table
+    of as many splits as there are cores is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(2 * cores, key)
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per lineitem row (title from the part, company = supplier,
     location = nation and region, source from the return flag)."""
-    li = read_table(spark, sf_dir, "lineitem").repartition("l_orderkey")
+    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey")
     part = read_table(spark, sf_dir, "part")
     sup = read_table(spark, sf_dir, "supplier")
     nat = read_table(spark, sf_dir, "nation")

@@ -17,14 +17,18 @@ def test_match_stays_on_the_jvm_without_cross_joins(spark):
         assert word not in plan, word
 
 
-def test_no_text_travels_with_the_keys(spark):
-    """The rows that the containment join shuffles hold an id, a key and a short window."""
-    from roleweave.operators.dictionary import find_words
+def test_no_text_travels_with_the_words(spark):
+    """The scan for words shuffles no text: what leaves it holds an id and one word's characters."""
+    from roleweave.operators.dictionary import candidates, find_words, vocabulary
 
     texts = spark.createDataFrame([(1, "abc")], "id int, body string")
-    df = find_words(texts, "id", "body", spark.createDataFrame([("ab",)], "word string"))
-    exchanges = [x for x in _plan(df).split("\n") if "hashpartitioning(key" in x]
-    assert exchanges and "body" not in "".join(exchanges)
+    words = spark.createDataFrame([("ab",)], "word string")
+    plan = [x.split("Subquery")[0] for x in _plan(find_words(texts, "id", "body", words)).split("\n")]
+    exchanges = [x for x in plan if "Exchange" in x and "hashpartitioning" in x]
+    assert exchanges and not any("body" in x or "part#" in x or "piece" in x for x in exchanges)
+    scan = candidates(texts, "id", "body", vocabulary(words))
+    top = [x for x in _plan(scan).split("\n") if not x.lstrip(" +-*()0123456789").startswith((":", "Subquery")) and ":  " not in x]
+    assert not any(x.lstrip(" +-").startswith("Exchange") for x in top if "SinglePartition" not in x and "cell#" not in x and "word#" not in x)
 
 
 def test_building_a_query_starts_no_job(spark, monkeypatch):
