@@ -1167,7 +1167,7 @@ def run_stages(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# K1-K3, T13 — state written by two runs, the first of which is repeated
+# K1-K4, T13 — state written by two runs, the second of which is repeated
 # --------------------------------------------------------------------------
 RUN_STATE_SQL = S.with_ctes(_GATED_SQL + "," + _MATCH_SQL_TEMPLATE.replace("{src}", "gated") + f""",
 m as (select *, case when coalesce(company, '') = '' then 'unknown'
@@ -1183,7 +1183,8 @@ c2 as (select * from (select *, row_number() over (partition by profile_id, comp
 r2 as (select * from (select *, row_number() over (partition by profile_id order by posted_ts desc, score desc, ord) as rk from c2)
        where rk <= 30)
 select 'notified' as tbl, 'r1' as run_id, profile_id, job_id from r1
-union all select 'notified', 'r2', profile_id, job_id from r2
+union all select 'digest', 'r1', profile_id, job_id from r1
+union all select 'digest', 'r2', profile_id, job_id from r2
 union all select distinct 'seen', 'r1', profile_id, job_id from m
 union all select 'runs', r, profile_id, null from fx_profiles, (select unnest(['r1', 'r2']) as r)
 """, "fx_postings", "fx_profiles")
@@ -1191,21 +1192,25 @@ union all select 'runs', r, profile_id, null from fx_profiles, (select unnest(['
 
 @register("run_state", RUN_STATE_SQL)
 def run_state(spark, sf_dir):
-    """K1-K3: the rows that two runs write, after the second one and a repeat of it (writes
-    under the checkpoint folder while the query is built)."""
+    """K1-K4: the rows of two runs, of which the second, delivered at first, is repeated as a
+    dry run, which leaves its digest and log but no notifications (writes under the
+    checkpoint folder while the query is built)."""
     from roleweave.functions.dates import with_posted_ts
+    from roleweave.operators import state
     from roleweave.plans.run import execute_run
     from roleweave.streaming.incremental import _scratch
 
     root = _scratch(spark, "run-state")
     posts = with_posted_ts(S.postings(spark, sf_dir), "posted_date", S.AS_OF)
-    for run_id in ("r1", "r2", "r2"):
+    for run_id, delivered in (("r1", True), ("r2", True), ("r2", False)):
         execute_run(spark, S.profiles(spark, sf_dir), posts, root, S.AS_OF, run_id, targets=FX_TARGETS,
-                    threshold=FX_THRESHOLD, match_opts=FX_MATCH,
+                    threshold=FX_THRESHOLD, match_opts=FX_MATCH, delivered=delivered,
                     location_opts={"region_words": FX_REGION_WORDS, "foreign_words": FX_FOREIGN_WORDS})
     rows = None
-    for name, job in (("notified", F.col("job_id")), ("seen", F.col("job_id")), ("runs", F.lit(None).cast("string"))):
-        part = spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("tbl"), "run_id", "profile_id", job.alias("job_id"))
+    for name, schema in (("notified", state.NOTIFIED_SCHEMA), ("digest", state.DIGEST_SCHEMA), ("seen", state.SEEN_SCHEMA), ("runs", state.RUNS_SCHEMA)):
+        job = F.col("job_id") if name != "runs" else F.lit(None).cast("string")
+        table = "digests" if name == "digest" else name
+        part = state.read_state(spark, root, table, schema).select(F.lit(name).alias("tbl"), "run_id", "profile_id", job.alias("job_id"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -1216,13 +1221,13 @@ def run_state(spark, sf_dir):
 UNION_SQL = S.with_ctes("""
 select ord, title, company, location, url, source,
        case when source = 'career_page' then null else experience end as experience
-from fx_postings where source <> 'naukri'
+from fx_postings
 """, "fx_postings")
 
 
 @register("union_sources", UNION_SQL)
 def union_of_sources(spark, sf_dir):
-    """Postings of two registered sources united by name; a column that one lacks is null."""
+    """Postings of three registered sources united by name; a column that one lacks is null."""
     from roleweave.sources.registry import SOURCES, register_source, union_sources
 
     def stand_in(name, *dropped):
@@ -1231,8 +1236,9 @@ def union_of_sources(spark, sf_dir):
             return S.postings(spark, path).where(F.col("source") == name).drop(*dropped)
 
     stand_in("linkedin")
+    stand_in("naukri")
     stand_in("career_page", "experience")
-    frames = [SOURCES[f"stand_in_{name}"](spark, sf_dir) for name in ("linkedin", "career_page")]
+    frames = [SOURCES[f"stand_in_{name}"](spark, sf_dir) for name in ("linkedin", "naukri", "career_page")]
     return union_sources(frames).select("ord", "title", "company", "location", "url", "source", "experience")
 
 
