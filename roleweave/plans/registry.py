@@ -864,6 +864,42 @@ def stream_first_seen(spark, sf_dir):
                      F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
 
 
+# --------------------------------------------------------------------------
+# ST3 — rows behind the watermark, over four ordered landings of `events`
+# --------------------------------------------------------------------------
+_LANDING = "case when event_id % 10 = 3 then 3 else (4 * event_id) // (m + 1) end"
+STREAM_LATE_SQL = f"""
+with e as (select event_id, user_id, event_type, ts, {_LANDING} as landing from events, (select max(event_id) as m from events)),
+marks as (select a.landing, max(b.ts) - interval 10 day as mark from (select distinct landing from e) a
+          left join e b on b.landing < a.landing - 1 group by a.landing),
+k as (select e.*, mark is null or ts > date_trunc('milliseconds', mark) as in_time from e join marks on marks.landing = e.landing)
+select event_type, count(*) filter (in_time) as kept, count(distinct user_id) filter (in_time) as users,
+       (select count(*) from k where not in_time) as late
+from k group by event_type having count(*) filter (in_time) > 0
+"""
+
+
+@register("stream_late", STREAM_LATE_SQL)
+def stream_late(spark, sf_dir):
+    """ST3: `events` landing in time order in four files, a tenth of them with the last one;
+    rows behind the ten-day watermark are dropped and counted (streams while it is built)."""
+    from roleweave.streaming.incremental import _scratch, file_stream, in_time_stream, late_rows
+
+    root = _scratch(spark, "late")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.agg(F.max("event_id")).scalar()
+    landing = F.when(F.col("event_id") % 10 == 3, F.lit(3)).otherwise(F.floor(4 * F.col("event_id") / (last + 1)))
+    landed = events.withColumn("landing", landing.cast("int"))
+    for n in range(4):
+        landed.where(F.col("landing") == n).drop("landing").coalesce(1).write.parquet(f"{root}/in/{n}")
+    stream = file_stream(spark, f"{root}/in/*", events.schema, max_files_per_trigger=1)
+    query = in_time_stream(stream, ["event_id"], "ts", f"{root}/out", f"{root}/checkpoint")
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.groupBy("event_type").agg(F.count("*").alias("kept"), F.count_distinct("user_id").alias("users")).withColumn(
+        "late", F.lit(late_rows(query)).cast("long"))
+
+
 # --------------------------------------------------------------------------
 # S5 / F8 — job-board API responses;  S6, J4, F13, F14 — search-API responses
 # (response bodies are stand-ins serialised by Spark from the `pages` table)
