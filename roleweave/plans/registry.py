@@ -423,6 +423,25 @@ def state_stats(spark, sf_dir):
         "total_jobs_seen", "total_notified", page_count(F.col("total_jobs_seen")).alias("pages"))
 
 
+STORE_STATS_SQL = S.with_ctes("""
+select count(*) as total_jobs_seen, cast(count_if(notified = 1) as bigint) as total_notified,
+       count(distinct strftime(first_seen, '%Y-%m-%d')) as total_runs,
+       coalesce(concat(strftime(max(first_seen) + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%f'), '+05:30'), 'Never') as last_run
+from fx_seen
+""", "fx_seen")
+
+
+@register("store_stats", STORE_STATS_SQL)
+def store_stats(spark, sf_dir):
+    """A1-A4: totals seen and notified, runs and the last run's time, with a run for each day
+    on which a posting was first seen."""
+    from roleweave.operators.state import stats
+
+    seen = S.seen(spark, sf_dir)
+    runs = seen.groupBy(F.date_format("first_seen", "yyyy-MM-dd").alias("run_id")).agg(F.max("first_seen").alias("timestamp"))
+    return stats(seen, runs)
+
+
 LISTING_SQL = S.with_ctes("""
 select job_id, strftime(first_seen, '%Y-%m-%d') as first_seen_day,
        concat(strftime(first_seen + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S.%f'), '+05:30') as first_seen_ist,
