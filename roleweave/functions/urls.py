@@ -57,10 +57,23 @@ def company_from_domain(domain: Column, overrides=D.COMPANY_NAME_OVERRIDES) -> C
     return name
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    # a path that ends in a dot segment names a directory: nothing behind the last slash
+    segments = F.concat(F.slice(segments, 2, F.size(segments)), F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda stack, s: F.when(s == ".", stack).when(s == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(s))),
+    )
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def absolute_url(base="page_url", href="href") -> Column:
-    """P5: resolve ``href`` against ``base`` (RFC 3986 reference resolution for the
-    common forms: absolute, scheme-relative, absolute path, query-only,
-    fragment-only, relative path).  Dot segments are kept as written."""
+    """P5: resolve ``href`` against ``base`` (RFC 3986 reference resolution: absolute,
+    scheme-relative, absolute path, query-only, fragment-only, relative path).  Dot
+    segments of the two kinds of path are removed; what names its own host is kept as written."""
     b, h = col(base), F.coalesce(col(href), F.lit(""))
     scheme = F.regexp_extract(b, _SCHEME, 1)
     origin = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
@@ -69,12 +82,14 @@ def absolute_url(base="page_url", href="href") -> Column:
     path = F.regexp_extract(no_query, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/.*)?$", 1)
     directory = F.regexp_replace(path, "[^/]*$", "")
     directory = F.when(directory == "", F.lit("/")).otherwise(directory)
+    tail = F.regexp_extract(h, r"(?s)[?#].*$", 0)
+    target = F.regexp_replace(h, r"(?s)[?#].*$", "")
     return (
         F.when(h == "", b)
         .when(h.rlike(_SCHEME), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
+        .when(h.startswith("/"), F.concat(origin, without_dots(target), tail))
         .when(h.startswith("?"), F.concat(no_query, h))
         .when(h.startswith("#"), F.concat(no_frag, h))
-        .otherwise(F.concat(origin, directory, h))
+        .otherwise(F.concat(origin, without_dots(F.concat(directory, target)), tail))
     )

@@ -114,3 +114,20 @@ def test_with_posted_ts_equals_column_form(spark):
 def test_ages_before_the_year_1_fall_to_epoch(spark, text, want):
     df = spark.createDataFrame([(text,)], "d string").select(posted_ts("d", "2001-11-04 00:00:00").cast("string").alias("t"))
     assert df.first()["t"] == want
+
+
+def test_references_are_resolved_as_in_the_standard(spark):
+    """RFC 3986, section 5.4, normal and abnormal examples, against the base http://a/b/c/d;p?q."""
+    from roleweave.functions.urls import absolute_url
+
+    same = ["g", "g/", "g?y", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", "g.", ".g", "g..", "..g", "g?y/./x", "g?y/../x", "g#s/./x", "g#s/../x"]
+    cases = {h: f"http://a/b/c/{h}" for h in same} | {
+        "g:h": "g:h", "http:g": "http:g", "./g": "http://a/b/c/g", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "#s": "http://a/b/c/d;p?q#s",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/",
+        "../../": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+        "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y",
+    }
+    df = spark.createDataFrame([("http://a/b/c/d;p?q", h) for h in cases] + [("http://a", "x/../y")], "page_url string, href string")
+    got = {r["href"]: r["url"] for r in df.select("href", absolute_url().alias("url")).collect()}
+    assert got.pop("x/../y") == "http://a/y"
+    assert got == cases
