@@ -3,8 +3,9 @@
 Features of each document are computed within its row.  For every language and source,
 mergeable quantile sketches (Spark's ``percentile_approx``: one small summary for each task
 and group, merged after the shuffle) give the quartiles of each ratio; a document fails
-when a ratio lies beyond the far fence of its own group.  The fences replace fixed
-cutoffs; the fixed base rule stands beside them.
+when a ratio lies beyond the far fence of its own group.  Repeats are absent from most
+documents, so their quartiles are those of the documents that have any.  The fences
+replace fixed cutoffs; the fixed base rule stands beside them.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from roleweave.llm.common import saved
 
 #: Fixed values of the contract.
 BLANK, SYMBOLS, WINDOW, FEWEST_WORDS, MOST_REPEATED = r"[\x20\x09-\x0D]+", "#*$%&|<>", 5, 10, 20
-#: Quartiles from the sketch, how far beyond them a value fails, in quartile distances, and
-#: the least distance used, for groups whose values hardly differ.
-ACCURACY, FENCE = 10_000, 6.0
-#: (feature, least quartile distance, whether low values fail, whether high values fail).
-RULES = (("mean_word", 0.5, True, True), ("symbol_ratio", 0.02, False, True), ("dup_line_ratio", 0.05, False, True), ("repeat_ratio", 0.05, False, True))
+#: Accuracy of the sketches.
+ACCURACY = 10_000
+#: (feature, whether low values fail too, whether only values above zero make the quartiles,
+#: how many quartile distances a value may lie beyond them, least quartile distance: the size of rounding).
+RULES = (
+    ("mean_word", True, False, 6.0, 0.05), ("symbol_ratio", False, False, 6.0, 0.005),
+    ("dup_line_ratio", False, True, 3.0, 0.02), ("repeat_ratio", False, True, 3.0, 0.02),
+)
 
 
 def _bound(value: Column, use) -> Column:
@@ -98,12 +102,13 @@ def _ratios(counts: DataFrame) -> DataFrame:
     })
 
 
-def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), fence: float = FENCE) -> DataFrame:
+def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), fence: float = 1.0) -> DataFrame:
     """The rows of :func:`features` with the ratios, ``base_failed``, ``failed`` (names of the rules) and ``kept``.
 
     A null in a group column is a group of its own.  Quartiles come from the documents
     that pass the base rule; a group of which none does, or a ratio at its fence, fails
-    nothing.  Every input row comes out once, repeated rows alike.
+    nothing.  ``fence`` scales how far beyond the quartiles all fences lie.  Every input
+    row comes out once, repeated rows alike.
     """
     groups = [f"group_{i}" for i in range(len(group_cols))]
     rows = _ratios(saved(features(documents, id_col, text_col, group_cols))).withColumn(
@@ -111,14 +116,14 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     passing = rows.where(~F.col("base_failed"))
     sketches = passing.groupBy(*groups).agg(
-        *[F.percentile_approx(name, [0.25, 0.75], ACCURACY).alias(f"q_{name}") for name, *_ in RULES]
+        *[F.percentile_approx(F.when(F.col(name) > 0, F.col(name)) if present else F.col(name), [0.25, 0.75], ACCURACY).alias(f"q_{name}") for name, _, present, *_ in RULES]
     )
     joined = rows.alias("r").join(sketches.alias("s"), [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups], "left")
     fails = []
-    for name, least, low, high in RULES:
+    for name, low, _, times, least in RULES:
         first, third = F.get(f"q_{name}", F.lit(0)), F.get(f"q_{name}", F.lit(1))
-        reach = fence * F.greatest(third - first, F.lit(least))
-        beyond = (F.col(name) > third + reach) if high else F.lit(False)
+        reach = F.lit(fence * times) * F.greatest(third - first, F.lit(least))
+        beyond = F.col(name) > third + reach
         if low:
             beyond = beyond | (F.col(name) < first - reach)
         fails.append(F.when(beyond, F.lit(name)))

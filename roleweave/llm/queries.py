@@ -174,12 +174,12 @@ def _op9_sql() -> str:
     """Features by unnested windows; quartiles are exact, as the sketches are for groups of this size."""
     word = r"[^\x20\x09-\x0D]"
     fails = []
-    for name, least, low, high in quality.RULES:
-        reach = f"{quality.FENCE} * greatest(q_{name}[2] - q_{name}[1], {least})"
-        beyond = [f"{name} > q_{name}[2] + {reach}"] if high else []
-        beyond += [f"{name} < q_{name}[1] - {reach}"] if low else []
-        fails.append("(" + " or ".join(beyond) + ")")
-    quartiles = ", ".join(f"[quantile_disc({n}, 0.25), quantile_disc({n}, 0.75)] as q_{n}" for n, *_ in quality.RULES)
+    quartiles = []
+    for name, low, present, times, least in quality.RULES:
+        reach = f"{times} * greatest(q_{name}[2] - q_{name}[1], {least})"
+        fails.append(f"({name} > q_{name}[2] + {reach}" + (f" or {name} < q_{name}[1] - {reach})" if low else ")"))
+        value = f"nullif({name}, 0)" if present else name
+        quartiles.append(f"[quantile_disc({value}, 0.25), quantile_disc({value}, 0.75)] as q_{name}")
     return f"""
 with d as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 t as (select *, regexp_extract_all(text, '{word}+') as w,
@@ -198,9 +198,9 @@ r as (select *, case when n_words > 0 then word_chars / n_words else 0.0 end as
              case when n_lines > 0 then n_dup_lines / n_lines else 0.0 end as dup_line_ratio,
              case when n_words > 0 then n_repeat_words / n_words else 0.0 end as repeat_ratio,
              n_words < {quality.FEWEST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words as base_failed from f),
-q as (select lang, source, {quartiles} from r where not base_failed group by lang, source)
+q as (select lang, source, {', '.join(quartiles)} from r where not base_failed group by lang, source)
 select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words,
-       base_failed, not base_failed and not coalesce({" or ".join(fails)}, false) as kept
+       base_failed, not base_failed and not ({" or ".join(f"coalesce({x}, false)" for x in fails)}) as kept
 from r left join q on r.lang is not distinct from q.lang and r.source is not distinct from q.source
 """
 

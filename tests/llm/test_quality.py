@@ -44,6 +44,47 @@ def test_adaptive_fences(spark):
     assert not got[900].kept and got[900].base_failed
 
 
+def _group(source, texts, at):
+    return [(at + i, t, "aa", source) for i, t in enumerate(texts)]
+
+
+def _plain(n, words=60, symbols="", repeats=0, dup_lines=0, size=4):
+    """``n`` texts of distinct words, some with the given oddities."""
+    out = []
+    for i in range(n):
+        w = [f"{(i * 977 + j) % 9973:0{size}d}" for j in range(words)]
+        if repeats:
+            w += w[: 5 + i % repeats]
+        out.append(" ".join(w) + symbols + "".join(f"\n{i}l{j}" for j in range(20)) + f"\n{i}l0" * (1 + i % dup_lines if dup_lines else 0))
+    return out
+
+
+@pytest.mark.parametrize(
+    "name, usual, odd",
+    [
+        ("mean_word", _plain(40), " ".join(f"{j:012d}" for j in range(60))),
+        ("symbol_ratio", _plain(40), " ".join(f"{j:04d}" if j % 3 else f"{j:03d}#" for j in range(60))),
+        ("dup_line_ratio", _plain(40, dup_lines=1), _plain(1)[0] + "\n0l1" * 12),
+        ("repeat_ratio", _plain(40, words=400, repeats=3), " ".join([*map(str, range(1000, 1170)), *map(str, range(1000, 1017)), *"abcdefgh"])),
+    ],
+)
+def test_each_rule_alone_decides(spark, name, usual, odd):
+    got = {r.doc_id: r for r in quality.judge(documents(spark, _group("s", usual, 0) + [(99, odd, "aa", "s")])).collect()}
+    assert not got[99].base_failed and got[99].failed == [name] and not got[99].kept
+    assert all(r.kept for i, r in got.items() if i != 99)
+
+
+def test_fences_follow_their_group(spark):
+    # the same text is odd among texts without symbols and usual among texts full of them
+    same = " ".join(f"{j:04d}" if j % 3 else f"{j:03d}#" for j in range(60))
+    rows = _group("plain", _plain(40), 0) + [(98, same, "aa", "plain")]
+    rows += _group("code", _plain(20) + _plain(20, symbols=" #" * 40), 100) + [(198, same, "aa", "code")]
+    got = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
+    assert not got[98].kept and got[98].failed == ["symbol_ratio"] and got[198].kept
+    # a repeat below the base rule's 20 % fails where repeats are small
+    assert all(r.kept for i, r in got.items() if i != 98)
+
+
 def test_every_row_comes_out_once(spark):
     rows = corpus(6) + AWKWARD + [(901, "", None, None)]
     got = quality.judge(documents(spark, rows)).collect()
