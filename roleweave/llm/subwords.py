@@ -14,10 +14,10 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ BASE = np.uint64(0x100000001B3)
 WORDS_KEPT = 1 << 17
 #: Words whose n-grams are hashed at a time.
 WORDS_AT_ONCE = 1 << 15
+#: Bytes of text cut into words at a time, words of a text summed at a time, and how many such pieces together.
+BYTES_AT_ONCE, PIECE, PIECES_AT_ONCE = 1 << 22, 1 << 12, 1 << 7
 
 
 def word_of(raw: str) -> str:
@@ -91,41 +93,68 @@ class Scorer:
     """Scores texts with a model; remembers words."""
 
     def __init__(self, model: SubwordModel):
-        self.model, self.known, self.rows = model, {}, np.zeros((0, len(model.classes)))
+        self.model, self.known, self.rows = model, {}, np.zeros((0, len(model.classes) + 1))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        """Each run's class numbers, NaN where it holds no letter or digit."""
+        """Each run's class numbers and a 1; zeros where it holds no letter or digit."""
         clean = [word_of(w) for w in words]
         some = np.flatnonzero(np.fromiter(map(bool, clean), bool, len(clean)))
-        out = np.full((len(words), len(self.model.classes)), np.nan)
+        k = len(self.model.classes)
+        out = np.zeros((len(words), k + 1))
+        out[some, k] = 1
         for at in range(0, len(some), WORDS_AT_ONCE):
             part = some[at : at + WORDS_AT_ONCE]
             word, bucket = buckets_of([clean[i] for i in part.tolist()])
             number = np.bincount(word, minlength=len(part))
-            for c in range(out.shape[1]):
+            for c in range(k):
                 out[part, c] = np.bincount(word, self.model.weights[bucket, c], len(part)) / number
         return out
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """(texts, classes); a text without words has the bias."""
-        cut = [t.split() for t in texts]
-        here = set(chain.from_iterable(cut))
-        new = [*(here - self.known.keys())]
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The rows of these distinct words, new ones added; a full cache starts anew."""
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > WORDS_KEPT:
-            self.known, self.rows, new = {}, self.rows[:0], [*here]
+            self.known, self.rows, new = {}, self.rows[:0], words
         if new:
-            new.sort()
+            new = sorted(new)
             self.known |= {w: i for i, w in enumerate(new, len(self.rows))}
             self.rows = np.concatenate([self.rows, self._numbers(new)])
-        out = np.tile(self.model.bias, (len(texts), 1)).astype(np.float64)
-        get = self.known.__getitem__
-        for i, words in enumerate(cut):
-            if words:
-                got = self.rows[np.fromiter(map(get, words), np.int64, len(words))]
-                real = ~np.isnan(got[:, 0])
-                if real.any():
-                    out[i] += got[real].mean(axis=0)
-        return out
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, classes) logits and the number of words of each text; a text without words has the bias.
+
+        A batch's words are told apart once, by Arrow; the numbers of all words are gathered
+        and summed for pieces of a text, so a text's sum doesn't depend on the texts beside it.
+        """
+        n, k = len(texts), len(self.model.classes)
+        sums, number = np.zeros((n, k + 1)), np.zeros(n, np.int64)
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int64)
+        ends = np.cumsum(size)
+        at = 0
+        while at < n:  # as many texts as fit in so many bytes, one at least
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")))
+            cut = pc.utf8_split_whitespace(texts.slice(at, end - at))
+            coded = cut.flatten().dictionary_encode()
+            place = self._places(coded.dictionary.to_pylist())
+            word = coded.indices.to_numpy(zero_copy_only=False)
+            words = np.diff(cut.offsets.to_numpy(zero_copy_only=False))
+            blank = coded.dictionary.index("").as_py()
+            number[at:end] = words - (np.bincount(np.repeat(np.arange(end - at), words)[word == blank], minlength=end - at) if blank >= 0 else 0)
+            pieces = -(-words // PIECE)
+            owner = np.repeat(np.arange(end - at), pieces)
+            rank = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.append(np.repeat(np.cumsum(words) - words, pieces) + rank * PIECE, len(word))
+            for first in range(0, len(owner), PIECES_AT_ONCE):
+                last = min(first + PIECES_AT_ONCE, len(owner))
+                got = self.rows[place[word[start[first] : start[last]]]]
+                np.add.at(sums, at + owner[first:last], np.add.reduceat(got, start[first:last] - start[first], axis=0))
+            at = end
+        return self.model.bias + sums[:, :k] / np.maximum(sums[:, k:], 1), number
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """(texts, classes) of a list of texts."""
+        return self.score(pa.array(texts, pa.string()))[0]
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -252,10 +281,10 @@ def _scored(model: SubwordModel, key: str, batches: Iterator[pa.RecordBatch]) ->
     scorer = kept_in_worker(("subwords", key), lambda: Scorer(model))
     k = len(model.classes)
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-        p = softmax(scorer.logits(texts)) if k else np.zeros((len(texts), 0))
-        shares = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(p.ravel()))
-        words = pa.array([len(t.split()) for t in texts], pa.int64())
+        got, number = scorer.score(batch.column(batch.num_columns - 1).fill_null(""))
+        p = softmax(got) if k else got
+        shares = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * k), pa.array(p.ravel()))
+        words = pa.array(number)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], words, shares], [*batch.schema.names[:-1], "n_words", "shares"])
 
 

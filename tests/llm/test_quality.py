@@ -78,7 +78,7 @@ def test_fences_follow_their_group(spark):
     # the same text is odd among texts without symbols and usual among texts full of them
     same = " ".join(f"{j:04d}" if j % 3 else f"{j:03d}#" for j in range(60))
     rows = _group("plain", _plain(40), 0) + [(98, same, "aa", "plain")]
-    rows += _group("code", _plain(20) + _plain(20, symbols=" #" * 40), 100) + [(198, same, "aa", "code")]
+    rows += _group("code", _plain(20) + _plain(20, symbols="".join(f" #{k:03d}" for k in range(40))), 100) + [(198, same, "aa", "code")]
     got = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
     assert not got[98].kept and got[98].failed == ["symbol_ratio"] and got[198].kept
     # a repeat below the base rule's 20 % fails where repeats are small

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from helpers import AWKWARD, STEMS, documents, words
 from roleweave.llm import subwords, toxicity
@@ -70,3 +71,30 @@ def test_word_table_starts_anew(monkeypatch):
     monkeypatch.setattr(subwords, "WORDS_KEPT", 10)
     small = subwords.Scorer(model)
     assert np.allclose(np.concatenate([small.logits([r[1]]) for r in rows]), want)
+
+
+def naive(model, text):
+    """The mean over words of the mean over their buckets, one word at a time, and the number of words."""
+    found = []
+    for raw in text.split():
+        if word := subwords.word_of(raw):
+            found.append(model.weights[subwords.buckets_of([word])[1]].astype(float).mean(axis=0))
+    return model.bias + (np.mean(found, axis=0) if found else 0), len(text.split())
+
+
+def test_scores_are_plain_averages(monkeypatch):
+    rows, marks = labelled(24)
+    model = subwords.fit([(r[1], m[2]) for r, m in zip(rows, marks)])
+    texts = ["", " ", "--", "  a  --\x1cb\u3000c\x85 ", "IDIOT!! stupid", *[r[1] for r in rows], " ".join(r[1] for r in rows) + " "]
+    texts += [" ".join(f"w{i % 97}" for i in range(9000))]
+    want = [naive(model, t) for t in texts]
+    for size in ((1 << 22, 1 << 12, 1 << 7), (50, 7, 3)):
+        monkeypatch.setattr(subwords, "BYTES_AT_ONCE", size[0])
+        monkeypatch.setattr(subwords, "PIECE", size[1])
+        monkeypatch.setattr(subwords, "PIECES_AT_ONCE", size[2])
+        scorer = subwords.Scorer(model)
+        got, number = scorer.score(pa.array(texts))
+        assert np.allclose(got, [w for w, _ in want]) and number.tolist() == [n for _, n in want]
+        # what lies beside a text doesn't change a bit of its score
+        alone = np.concatenate([scorer.score(pa.array([t]))[0] for t in texts])
+        assert (alone == got).all()
