@@ -84,22 +84,41 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: Labels learned at most; where a table holds more, those of the most distinct rows (ties: the least label).
+MOST_GROUPS = 256
+#: Share of the hash range looked at first, in multiples of what should hold the sample.
+LOOK = 2.0
+
+
 def lowest_hashes(rows: DataFrame, group: str, hashed: str, per_group: int) -> dict:
     """Per group, the ``per_group``-th smallest distinct hash (the largest if there are fewer).
 
     Rows at or below it are a deterministic sample of at most ``per_group`` distinct
-    texts a group.  The driver receives one row a group; the window keeps at most
-    ``per_group`` rows of a group in every task before it shuffles.
+    texts a group.  A mergeable count of distinct hashes tells which part of the hash
+    range holds about twice as many; only rows of that part are shuffled, and the exact
+    place is found among them, so no group gathers more at any number of tasks.  A range
+    that held too few is widened.  The driver receives one row a group, for at most
+    :data:`MOST_GROUPS` groups.
     """
     from pyspark.sql import Window
 
+    rows = rows.select(group, hashed).where(F.col(group).isNotNull() & F.col(hashed).isNotNull())
+    counted = rows.groupBy(group).agg(F.approx_count_distinct(hashed).alias("number")).orderBy(F.desc("number"), group).limit(MOST_GROUPS)
+    share = {r[0]: min(1.0, LOOK * per_group / max(1, r["number"])) for r in counted.collect()}
+    limits: dict = {}
     w = Window.partitionBy(group).orderBy(hashed)
-    kept = (
-        rows.select(group, hashed).where(F.col(group).isNotNull() & F.col(hashed).isNotNull()).distinct()
-        .withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= per_group)
-        .groupBy(group).agg(F.max(hashed).alias("limit_hash"))
-    )
-    return {r[0]: r["limit_hash"] for r in kept.collect()}
+    while share:
+        looked = {g: min((1 << 63) - 1, int(part * (1 << 64)) - (1 << 63)) for g, part in share.items()}
+        found = (
+            rows.where(within_limits(F.col(group), F.col(hashed), looked)).distinct()
+            .withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= per_group)
+            .groupBy(group).agg(F.max(hashed).alias("limit_hash"), F.count("*").alias("number"))
+        )
+        for r in found.collect():
+            if r["number"] >= per_group or share[r[0]] >= 1:
+                limits[r[0]] = r["limit_hash"]
+        share = {g: min(1.0, 4 * part) for g, part in share.items() if g not in limits and part < 1}
+    return limits
 
 
 def within_limits(group: Column, hashed: Column, limits: dict) -> Column:

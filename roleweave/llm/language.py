@@ -27,6 +27,8 @@ from roleweave.llm.common import kept_in_worker, lowest_hashes, utf8, within_lim
 ORDER = 3
 #: Distinct training texts a language at most: the bound on what the counts are learned from.
 TEXTS_PER_LANGUAGE = 400
+#: Tasks that count the sample's n-grams, and distinct n-grams that one holds of a language before it merges them.
+COUNTING_TASKS, GRAMS_HELD = 4, 1 << 20
 #: Bytes scored at a time.
 BYTES = 1 << 20
 UNKNOWN = "und"
@@ -168,33 +170,48 @@ class PpmTable:
         return out
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sums of their counts."""
+    code, row = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    number = np.zeros(len(code), np.int64)
+    np.add.at(number, row.ravel(), np.concatenate([n for _, n in parts]))
+    return code, number
+
+
 def _gram_counts(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and language the n-grams and their counts; texts shorter than a gram give what they have."""
+    """Per task, language and length the n-grams and their counts, packed; texts shorter than a gram give what they have."""
+    found: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[tuple[str, int], int] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
         data, offsets = utf8(batch.column(1))
-        found: dict[tuple[str, int], list[np.ndarray]] = {}
         for lang, a, b in zip(langs, offsets[:-1].tolist(), offsets[1:].tolist()):
             text = data[a:b].astype(np.int64)
             code = np.zeros(len(text), np.int64)
             for k in range(order + 1):
                 code[k:] |= text[: len(text) - k] << 8 * k
-            for n in range(1, min(order, len(text)) + 1):
-                found.setdefault((lang, n), []).append(code[n - 1 : n])
-            found.setdefault((lang, order + 1), []).append(code[order:])
-        for (lang, n), codes in found.items():
-            code, number = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(code), pa.string()), pa.array(np.full(len(code), n, np.int32)), pa.array(code), pa.array(number.astype(np.int64))],
-                ["lang", "n", "code", "number"],
-            )
+            grams = [(n, code[n - 1 : n]) for n in range(1, min(order, len(text)) + 1)] + [(order + 1, code[order:])]
+            for n, codes in grams:
+                parts = found.setdefault((lang, n), [])
+                parts.append(np.unique(codes, return_counts=True))
+                held[lang, n] = held.get((lang, n), 0) + len(parts[-1][0])
+                if held[lang, n] > GRAMS_HELD:
+                    parts[:] = [_merged(parts)]
+                    held[lang, n] = 0  # what is left is bounded by the language's own grams
+    for (lang, n), parts in found.items():
+        code, number = _merged(parts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang], pa.string()), pa.array([n], pa.int32()), pa.array([code.astype("<u4").tobytes()], pa.binary()), pa.array([number.astype("<i8").tobytes()], pa.binary())],
+            ["lang", "n", "codes", "numbers"],
+        )
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, per_language: int = TEXTS_PER_LANGUAGE) -> PpmCounts:
     """Counts from at most ``per_language`` distinct texts of each language, chosen by a hash of the text.
 
-    Rows with a null or empty text or a null language teach nothing.  The n-grams are
-    counted in the tasks; the driver receives one row for each that the sample has.
+    Rows with a null or empty text or a null language teach nothing.  The n-grams of the
+    sample are counted in :data:`COUNTING_TASKS` tasks, whatever the number of partitions;
+    the driver receives one packed row for each task, language and length.
     """
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
@@ -205,21 +222,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     sample = rows.where(within_limits(F.col("lang"), F.col("hashed"), limits))
     # a copied text counts once
     sample = sample.groupBy("lang", "hashed").agg(F.first("text").alias("text")).select("lang", "text")
-    counted = (
-        sample.mapInArrow(lambda b: _gram_counts(order, b), "lang string, n int, code bigint, number bigint")
-        .groupBy("n", "code", "lang").agg(F.sum("number").alias("number")).toArrow()
-    )
+    packed = sample.coalesce(COUNTING_TASKS).mapInArrow(lambda b: _gram_counts(order, b), "lang string, n int, codes binary, numbers binary").collect()
     languages = tuple(sorted(limits))
-    n, code = counted["n"].to_numpy(), counted["code"].to_numpy()
-    number = counted["number"].to_numpy()
-    lang = np.array([languages.index(x) for x in counted["lang"].to_pylist()], np.int64)
     codes, counts = [np.zeros(0, np.int64)], [np.zeros((0, len(languages)), np.int64)]
     for size in range(1, order + 2):
-        mine = n == size
-        unique, row = np.unique(code[mine], return_inverse=True)
+        mine = [(languages.index(r["lang"]), np.frombuffer(r["codes"], "<u4").astype(np.int64), np.frombuffer(r["numbers"], "<i8")) for r in packed if r["n"] == size]
+        unique = np.unique(np.concatenate([np.zeros(0, np.int64), *[c for _, c, _ in mine]]))
         table = np.zeros((len(unique), len(languages)), np.int64)
-        np.add.at(table, (row.ravel(), lang[mine]), number[mine])
-        codes.append(unique.astype(np.int64)), counts.append(table)
+        for lang, code, number in mine:
+            table[np.searchsorted(unique, code), lang] += number
+        codes.append(unique), counts.append(table)
     return PpmCounts(languages, order, tuple(codes), tuple(counts))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from helpers import AWKWARD, STEMS, corpus, documents, words
-from roleweave.llm import language
+from roleweave.llm import common, language
 
 
 def nats(train, order, text):
@@ -75,3 +75,29 @@ def test_nothing_learned_and_empty_table(spark):
 def test_sample_bound(spark):
     model = language.train(documents(spark, corpus(60)), per_language=2)
     assert 0 < model.counts[1].sum() <= 6  # one start for each text of the sample
+
+
+def test_lowest_hashes(spark):
+    # one group of many distinct hashes, one of copies alone, a small one, and a range that starts too narrow
+    rng = random.Random(3)
+    big = [rng.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    rows = [("big", h) for h in big] + [("copies", 5)] * 3000 + [("copies", -7)] + [("small", h) for h in big[:3]] + [(None, 1), ("big", None)]
+    high = [(1 << 62) + i for i in range(2000)]  # all in the upper half
+    rows += [("high", h) for h in high]
+    df = spark.createDataFrame(rows, "g string, h long").repartition(16)
+    got = common.lowest_hashes(df, "g", "h", 10)
+    assert got == {"big": sorted(big)[9], "copies": 5, "small": max(big[:3]), "high": sorted(high)[9]}
+    assert common.lowest_hashes(df.where("false"), "g", "h", 10) == {}
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_GROUPS", 2)
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1)], "g string, h long")
+    assert common.lowest_hashes(df, "g", "h", 5) == {"a": 2, "b": 2}
+
+
+def test_counts_do_not_depend_on_partitions(spark, monkeypatch):
+    docs = documents(spark, corpus(40))
+    want = language.train(docs.coalesce(1))
+    monkeypatch.setattr(language, "GRAMS_HELD", 50)
+    assert language.train(docs.repartition(13)).key == want.key
