@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from roleweave.llm.common import kept_in_worker
+from roleweave.llm.common import kept_in_worker, tidy
 
 #: No merge for a pair: larger than any rank.
 NONE = np.int32(2**31 - 1)
@@ -243,5 +243,5 @@ def encode_and_decode(documents: DataFrame, tokenizer_path: str, id_col: str = "
     """
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(documents[id_col].alias("doc_id"), documents[text_col].cast("string").alias("text")).mapInArrow(
-        lambda batches: _coded(tokenizer_path, batches), f"doc_id {kind}, ids binary, decoded string"
+        tidy(lambda batches: _coded(tokenizer_path, batches)), f"doc_id {kind}, ids binary, decoded string"
     )

@@ -63,6 +63,23 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(step):
+    """An Arrow step (batches to batches) that returns what its task held when its batches end.
+
+    Arrow allocates from the C library meanwhile, whose freed memory goes back to the
+    system; tables that :func:`kept_in_worker` keeps stay.
+    """
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def id_hash(column: str | Column) -> Column:
     """crc32 of an id's decimal text (null stays null)."""
     c = F.col(column) if isinstance(column, str) else column

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roleweave.llm.common import kept_in_worker, lowest_hashes, utf8, within_limits
+from roleweave.llm.common import kept_in_worker, lowest_hashes, tidy, utf8, within_limits
 
 #: Longest context in bytes.  With one byte more it fills 32 bits, which the n-gram codes use.
 ORDER = 3
@@ -222,7 +222,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     sample = rows.where(within_limits(F.col("lang"), F.col("hashed"), limits))
     # a copied text counts once
     sample = sample.groupBy("lang", "hashed").agg(F.first("text").alias("text")).select("lang", "text")
-    packed = sample.coalesce(COUNTING_TASKS).mapInArrow(lambda b: _gram_counts(order, b), "lang string, n int, codes binary, numbers binary").collect()
+    packed = sample.coalesce(COUNTING_TASKS).mapInArrow(tidy(lambda b: _gram_counts(order, b)), "lang string, n int, codes binary, numbers binary").collect()
     languages = tuple(sorted(limits))
     codes, counts = [np.zeros(0, np.int64)], [np.zeros((0, len(languages)), np.int64)]
     for size in range(1, order + 2):
@@ -267,7 +267,7 @@ def identify(documents: DataFrame, model: PpmCounts, id_col: str = "doc_id", tex
     kept = kept.select(*kept.columns[:-1], lettered.alias("lettered"), "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     key = model.key
-    out = kept.mapInArrow(lambda b: _scored(model, key, b), schema + ", found string, share double, bits_per_byte double")
+    out = kept.mapInArrow(tidy(lambda b: _scored(model, key, b)), schema + ", found string, share double, bits_per_byte double")
     known = F.col("lettered") & F.col("found").isNotNull()
     return out.select(
         *out.columns[: len(kept.columns) - 2],

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roleweave.llm import subwords
-from roleweave.llm.common import saved
+from roleweave.llm.common import saved, tidy
 
 #: The production mixture over the label table's domains: shares of the mixed tokens.
 TARGETS = {"q1t0": 0.94, "q0t0": 0.04, "q1t1": 0.02}
@@ -153,7 +153,7 @@ def fit(
     def gather(trials: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide = k + k * k + 1
         value = np.zeros(len(trials) * wide + 2 * k * k)
-        rows = soft.select("n_words", "shares").mapInArrow(lambda b: _sums(trials, kept, b), "place int, value double")
+        rows = soft.select("n_words", "shares").mapInArrow(tidy(lambda b: _sums(trials, kept, b)), "place int, value double")
         for r in rows.groupBy("place").agg(F.sum("value").alias("value")).collect():
             value[r["place"]] = r["value"]
         return value[: len(trials) * wide].reshape(-1, wide), value[len(trials) * wide :].reshape(2, k, k)
@@ -225,10 +225,11 @@ def mix(
     text = documents[text_col].cast("string")
     own = (documents[id_col].alias("doc_id"), F.xxhash64(text).alias("text_hash"))
     soft = subwords.posteriors(documents, model, own, text_col)
-    full = subwords.posteriors(documents, model, (*own, *carry), text_col) if carry else soft
-    carried = full.columns[2:-2]
+    # carried columns are too wide to keep or to join: their rows are scored once more in passing
+    full = (lambda **step: subwords.posteriors(documents, model, (*own, *carry), text_col, **step)) if carry else None
+    carried = full().columns[2:-2] if carry else []
     if k < 2:
-        return full.select("doc_id", "text_hash", *carried, "n_words", F.lit(model.classes[0] if k else None).cast("string").alias("domain"), "shares", F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return (full() if carry else soft).select("doc_id", "text_hash", *carried, "n_words", F.lit(model.classes[0] if k else None).cast("string").alias("domain"), "shares", F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     soft = saved(soft)
     found = fit(soft, model.classes, targets, anchor, iterations, reachable=True, keep_anchor=True)
     logging.getLogger(__name__).log(
@@ -236,10 +237,14 @@ def mix(
         "converged" if found.converged else "not converged", found.passes, found.gradient, found.report(),
     )
     steps, kept = found.steps, model.classes.index(anchor) if anchor in model.classes and targets.get(anchor, 0) > 0 else None
-    # carried columns are too wide to keep or to join: their rows are scored once more in passing
-    rated = full if carry else soft
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.schema.fields)
-    rated = rated.mapInArrow(lambda b: _with_rates(steps, k, kept, b), f"{schema}, rate double")
+    def add_rates(batches):
+        return _with_rates(steps, k, kept, batches)
+
+    if carry:
+        rated = full(then=add_rates, more=", rate double")
+    else:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in soft.schema.fields)
+        rated = soft.mapInArrow(tidy(add_rates), f"{schema}, rate double")
     names = F.array(*[F.lit(c) for c in model.classes])
     best = F.element_at(names, F.array_position("shares", F.array_max("shares")).cast("int"))
     draw = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))

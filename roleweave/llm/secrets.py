@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from roleweave.llm.common import saved
+from roleweave.llm.common import saved, tidy
 
 #: Fixed values of the contract: kinds in order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -105,7 +105,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     """``doc_id``, ``owner``, ``found`` (an array of kind, start, end, hash) of every row; one narrow pass."""
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(documents[id_col].alias("doc_id"), documents[owner_col].cast("string").alias("owner"), documents[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_scan, f"doc_id {kind}, owner string, found array<struct<kind:string,start:bigint,end:bigint,hash:string>>")
+    return rows.mapInArrow(tidy(_scan), f"doc_id {kind}, owner string, found array<struct<kind:string,start:bigint,end:bigint,hash:string>>")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roleweave.llm.common import saved
+from roleweave.llm.common import saved, tidy
 from roleweave.llm.components import components
 
 #: The contract's shingle length, radius, and seed of XXH64.
@@ -70,7 +70,7 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS, id_col: str =
     """``doc_id``, ``fp`` (the fingerprint's 64 bits as a long) of every row; null text is empty."""
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(documents[id_col].alias("doc_id"), documents[text_col].cast("string").alias("text")).mapInArrow(
-        lambda batches: _fingerprints(words, batches), f"doc_id {kind}, fp bigint"
+        tidy(lambda batches: _fingerprints(words, batches)), f"doc_id {kind}, fp bigint"
     )
 
 
@@ -248,7 +248,7 @@ def links(prints: DataFrame, radius: int = RADIUS, block_rows: int = 2048, colum
     )
     return (
         units.repartition("bucket", "lower", "upper").sortWithinPartitions("bucket", "lower", "upper", "side")
-        .mapInArrow(lambda batches: _forest(radius, 8 * block_rows, batches), "a bigint, b bigint")
+        .mapInArrow(tidy(lambda batches: _forest(radius, 8 * block_rows, batches)), "a bigint, b bigint")
     )
 
 

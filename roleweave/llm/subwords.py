@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roleweave.llm.common import kept_in_worker, lowest_hashes, within_limits
+from roleweave.llm.common import kept_in_worker, lowest_hashes, tidy, within_limits
 
 #: Buckets, n-gram lengths, embedding size.
 BUCKETS, SHORTEST, LONGEST, SIZE = 1 << 17, 3, 5, 8
@@ -270,7 +270,7 @@ def train(
     total = sum(share.values())
     priors = {c: n / total for c, n in share.items()} if total else None
     sorted_sample = sample.repartition(1).sortWithinPartitions("label", "hashed").select("text", "label")
-    got = sorted_sample.mapInArrow(lambda b: _fitted(priors, b), "classes string, weights binary, bias binary").first()
+    got = sorted_sample.mapInArrow(tidy(lambda b: _fitted(priors, b)), "classes string, weights binary, bias binary").first()
     classes = tuple(json.loads(got["classes"])) if got else ()
     shape = (BUCKETS, len(classes))
     weights = np.frombuffer(bytes(got["weights"]), np.float32).reshape(shape) if got else np.zeros(shape, np.float32)
@@ -288,9 +288,14 @@ def _scored(model: SubwordModel, key: str, batches: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], words, shares], [*batch.schema.names[:-1], "n_words", "shares"])
 
 
-def posteriors(documents: DataFrame, model: SubwordModel, keep: tuple[Column, ...], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns, ``n_words`` and ``shares`` (an array: the probability of each of ``model.classes``) of every row."""
+def posteriors(documents: DataFrame, model: SubwordModel, keep: tuple[Column, ...], text_col: str = "text", then=None, more: str = "") -> DataFrame:
+    """The ``keep`` columns, ``n_words`` and ``shares`` (an array: the probability of each of ``model.classes``) of every row.
+
+    ``then``, a step from these batches to batches with the columns ``more`` added, runs in
+    the same worker.
+    """
     rows = documents.select(*keep, documents[text_col].cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     key = model.key
-    return rows.mapInArrow(lambda b: _scored(model, key, b), f"{schema}, n_words bigint, shares array<double>")
+    then = then or (lambda b: b)
+    return rows.mapInArrow(tidy(lambda b: then(_scored(model, key, b))), f"{schema}, n_words bigint, shares array<double>{more}")
