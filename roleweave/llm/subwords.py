@@ -116,7 +116,6 @@ class Scorer:
         if len(self.known) + len(new) > WORDS_KEPT:
             self.known, self.rows, new = {}, self.rows[:0], words
         if new:
-            new = sorted(new)
             self.known |= {w: i for i, w in enumerate(new, len(self.rows))}
             self.rows = np.concatenate([self.rows, self._numbers(new)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))

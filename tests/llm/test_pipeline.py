@@ -62,7 +62,7 @@ def test_run(spark):
     assert 0 < out.count() and out.join(rows, "doc_id", "left_anti").count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if re.match(r"op\d", n) and n != "op5_top_k"])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if re.match(r"op\d", n) and n not in ("op5_top_k", "op11_chat_format")])
 def test_queries_answer_every_row(spark, name):
     table, key = ("pages", "page_id") if name in ("op1_url_filter", "op7_html_text") else ("documents", "doc_id")
     given = spark.read.parquet(f"{SF}/{table}.parquet").select(key)
