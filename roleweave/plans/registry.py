@@ -967,6 +967,30 @@ def job_api_postings(spark, sf_dir):
     return read_job_api(_job_api_bodies(spark, sf_dir), FX_API_PREFIX, "PwC", region_words=FX_SITE_REGION_WORDS)
 
 
+# --------------------------------------------------------------------------
+# S7 — JSON embedded in pages (stand-ins: each page with a heading gets a script
+# element that holds its title, serialised by Spark)
+# --------------------------------------------------------------------------
+EMBEDDED_TITLES_SQL = """
+select page_id, case when regexp_matches(html, '(?is)<h1') then regexp_extract(html, '(?is)<title>(.*?)</title>', 1) end as embedded
+from pages where html is not null and html <> ''
+"""
+
+
+@register("embedded_titles", EMBEDDED_TITLES_SQL)
+def embedded_titles(spark, sf_dir):
+    """A value at a path of the JSON in each page's script element, null where there is none."""
+    from roleweave.sources.api_json import read_embedded_json
+    from roleweave.sources.pages import read_pages
+
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    posting = F.struct(F.regexp_extract("html", _TITLE_RE, 1).alias("title"))
+    data = F.to_json(F.struct(F.struct(posting.alias("posting")).alias("pageProps")))
+    script = F.concat(F.lit('<script id="page-data" type="application/json">'), data, F.lit("</script>"))
+    held = pages.withColumn("html", F.when(F.col("html").rlike("(?is)<h1"), F.concat("html", script)).otherwise(F.col("html")))
+    return read_embedded_json(held, "page-data", "$.pageProps.posting.title").select("page_id", "embedded")
+
+
 def _search_inputs(spark, sf_dir):
     from roleweave.sources.tables import read_table
 
